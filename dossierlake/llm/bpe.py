@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Distinct pieces whose ids one worker remembers before it starts afresh.
 REMEMBERED = 400_000
 NONE = 1 << 62
@@ -116,6 +118,7 @@ def _encoder(key: tuple, ranks) -> Encoder:
 
 def _shared(spark: SparkSession, path: str, pattern: str):
     """The rank table as a broadcast: it holds one vocabulary, whatever the size of the corpus."""
+    ship(spark)
     return (path, pattern), spark.sparkContext.broadcast(read_ranks(path))
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: 1: the word counts, 0: it is ignored. Five words each. Any run of twelve or more words of which a
 #: fifth is substituted has a window of six with at most one substitution, which one of the first
 #: five masks forgives; the last two forgive two substitutions side by side.
@@ -157,6 +159,7 @@ def _index(shared) -> SeedIndex:
 def _blocks(benchmark: DataFrame) -> list:
     """The benchmark's items as broadcasts of at most BLOCK_CHARS characters each (or one item)."""
     spark = benchmark.sparkSession
+    ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS) or 1

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Words that a repeated run must have, and the distinct pages it must stand on.
 MIN_RUN, MIN_PAGES = 6, 3
 #: Pages of one suffix array. A host with more is dealt out by hash into arrays of about so many:
@@ -141,36 +143,30 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = MIN_RUN) -> tupl
 
 def _host_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
     """The main text of each page of one host (or a share of it)."""
-    words, page, block, kinds = [], [], [], []
+    words, page = [], []
     seen: dict[int, int] = {}
     source = []
     for i, p in enumerate(pages):
         # equal pages are one page: what only copies share is not boilerplate
         key = hash(tuple(p))
         source.append(seen.setdefault(key, i))
-        for j, (kind, text) in enumerate(p):
+        for _, text in p:
             w = text.split(" ")
             words += w
             page += [i] * len(w)
-            block += [j] * len(w)
-            kinds += [kind] * len(w)
     if not words:
         return [""] * len(pages)
     tokens = pd.factorize(np.array(words, dtype=object))[0]
-    page_no, block_no, kind_no = np.array(page), np.array(block), np.array(kinds)
+    page_no = np.array(page)
     order, rank, whole = repeated(tokens, page_no)
     classes = rank.max() + 1
     distinct = np.array(source)[page_no]
     pairs = np.unique(np.stack([rank[whole], distinct[whole]], axis=1), axis=0)
     on_pages = np.bincount(pairs[:, 0], minlength=classes)
-    outside = np.unique(np.stack([rank[whole & (kind_no != MAIN)], distinct[whole & (kind_no != MAIN)]], axis=1), axis=0)
-    outside_pages = np.bincount(outside[:, 0], minlength=classes)
     hit = order[whole[order] & (on_pages[rank[order]] >= MIN_PAGES)]
-    covered, furniture = np.zeros(len(words), bool), np.zeros(len(words), bool)
-    also = hit[outside_pages[rank[hit]] >= MIN_PAGES - 1]
+    covered = np.zeros(len(words), bool)
     for k in range(MIN_RUN):
         covered[hit + k] = True
-        furniture[also + k] = True
     out = []
     first = np.searchsorted(page_no, np.arange(len(pages) + 1))
     for i, p in enumerate(pages):
@@ -180,9 +176,7 @@ def _host_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
         for kind, text in p:
             n = text.count(" ") + 1
             if kind == MAIN:
-                # a block of the main region goes only if it is wholly what the site repeats elsewhere
-                if not (n >= MIN_RUN and furniture[a : a + n].all()):
-                    kept.append(text)
+                kept.append(text)  # the article is whole, also where it says what other pages say
             elif kind == OTHER and not has_main:
                 flags.append((a, n, len(kept)))
                 kept.append(text)
@@ -209,13 +203,15 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
     A page is cut into blocks; elements such as nav, footer or aside, and names such as ad, sidebar or
     comments, mark boilerplate, article and main the main region. The token streams of the pages of one
     host are concatenated and sorted as a suffix array; runs of MIN_RUN words or more on MIN_PAGES
-    distinct pages are boilerplate where no main region is marked, and within one where whole blocks
-    also stand outside of it on other pages. What is left is joined by one space.
+    distinct pages are boilerplate wherever no main region is marked: they are removed and the unique
+    runs between them stay. A marked main region is whole, but for what its own markup excludes. What
+    is left is joined by one space.
 
     Null html: empty text. Null url or one without host: the pages without host form a host. Repeated
     rows: each returned; equal pages count as one page. Pages of any length are read whole. Further
     columns are ignored. An empty table gives no rows.
     """
+    ship(pages.sparkSession)
     rows = pages.select("page_id", F.col(url).alias("url"), "html", _host(F.col(url)).alias("host"))
     large = pages.select(_host(F.col(url)).alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
     some = large.limit(MAX_LARGE_HOSTS + 1)

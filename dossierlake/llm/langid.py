@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Components of a hypervector, and the seed of the random letter vectors.
 DIMENSION, SEED = 1024, 20240229
 #: Labelled documents that each language's profile is bundled from, chosen by hash of their id.
@@ -126,6 +128,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimension: i
     """Languages and their profiles: the bundle of the unit vectors of up to ``per_language`` labelled
     documents each, the ones with the least hash of doc_id. Only text and non-null lang of documents
     that are not held out are read. What reaches the driver is bounded by the number of languages."""
+    ship(docs.sparkSession)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
     chosen = labelled.select("doc_id", "lang").withColumn("n", rank).where(F.col("n") <= per_language).select("doc_id").distinct()

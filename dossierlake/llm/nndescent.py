@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import connected_components, discard, materialize
 
 log = logging.getLogger(__name__)
@@ -295,6 +296,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
 
     After each run of rounds the recall of links is audited; below RECALL the lists are doubled.
     """
+    ship(vectors.sparkSession)
     held, members = points(vectors)
     k = neighbours
     lists = materialize(first_lists(held, k), "lists")

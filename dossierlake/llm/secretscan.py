@@ -28,9 +28,9 @@ MODEL_KIND = "markov"
 #: States of the models: letters, digits, one for each of the marks, and one for all else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 #: Mean log-likelihood ratio per character from which a string counts as random.
-THRESHOLD = 0.9
+THRESHOLD = 1.5
 #: Documents whose words are samples of ordinary identifiers (those of least hash), and random samples of each form.
-SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 2000, 4000
+SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 100, 2000
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def _transitions(samples: DataFrame) -> dict[tuple[str, int, int], int]:
 
 def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, randoms: int = SAMPLE_RANDOM) -> DataFrame:
     """(s, label): ordinary identifiers, which are words of the corpus, alone and joined as names and
-    paths are, and random strings: digests as hexadecimal, as base 64, and upper-case letters with digits."""
+    paths are, dates, numbers and rules of one mark; and random strings: digests as hexadecimal, as base 64, and upper-case letters with digits."""
     spark = docs.sparkSession
     some = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     words = some.select(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_.-]{3,15}"), F.lit(0))).alias("w"))
@@ -71,10 +71,19 @@ def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, randoms: int = S
         F.transform("w", lambda x: F.concat(F.lower(x), F.lit("_"), F.length(x).cast("string"))),
         F.transform("w", lambda x: F.concat(F.lower(x), F.lit("-20"), F.lpad(F.pmod(F.hash(x), F.lit(100)).cast("string"), 2, "0"))),
     )).alias("s")).withColumn("label", F.lit("ordinary"))
+    n = F.col("id")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    date = F.concat(F.lit("20"), two(n % 100), F.lit("-"), two(n % 12 + 1), F.lit("-"), two(n % 28 + 1))
+    time = F.concat(F.lit("T"), two(n % 24), F.lit("."), two(n % 60), F.lit("."), two(n % 59), F.lit("."), F.lpad((n * 7919 % 1000).cast("string"), 3, "0"))
+    numbers = spark.range(randoms).select(F.explode(F.array(
+        date, F.concat(date, time), (n * 1_000_003 + 12_345).cast("string"), F.lpad((n * 7919).cast("string"), 20, "0"),
+        F.concat_ws(".", n % 10, n % 17, n % 23, n % 7), *[F.repeat(F.lit(mark), F.lit(24)) for mark in "+/_=.-"],
+        *[F.repeat(F.lit(mark), F.lit(24)) for mark in "x0"],
+    )).alias("s")).withColumn("label", F.lit("ordinary"))
     digest = spark.range(randoms).select(F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256).alias("h"))
     upper = F.translate(F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "")), "018", "QXZ")
     random = digest.select(F.explode(F.array(F.col("h"), F.base64(F.unhex("h")), F.upper("h"), upper, F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "_"))).alias("s"))
-    return ordinary.unionAll(random.withColumn("label", F.lit("random"))).where(F.length("s") >= 2)
+    return ordinary.unionAll(numbers).unionAll(random.withColumn("label", F.lit("random"))).where(F.length("s") >= 2)
 
 
 def train(docs: DataFrame, **options) -> Model:

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import connected_components, materialize
 
 RADIUS = 2
@@ -46,6 +47,7 @@ def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of each whole text; a null text counts as empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
@@ -167,6 +169,7 @@ def link(fps: DataFrame) -> DataFrame:
     """Links between distinct fingerprints: rows (a, b) of representative doc_ids, enough to connect
     every pair at most two bits apart. ``fps``: (fp, rep), one row per fingerprint."""
     spark = fps.sparkSession
+    ship(spark)
     band = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     keys = fps.select(
         "fp", "rep", F.explode(F.array(*[F.struct(F.lit(n).alias("band"), (band(i) * 65536 + band(j)).alias("key")) for n, (i, j) in enumerate(BANDS)])).alias("k")
