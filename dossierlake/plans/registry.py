@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
+
+
+from . import extract_queries, ingest_queries, retrieval_queries  # noqa: E402, F401  they fill the registry
