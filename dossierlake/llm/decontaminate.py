@@ -203,18 +203,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, all columns as they are; null and empty texts stay."""
     for shared in _blocks(benchmark):
+        docs = docs.where(~_leaky(shared)("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaky(texts: pd.Series, shared=shared) -> pd.Series:
-            index, out = _index(shared), np.zeros(len(texts), bool)
-            values = texts.tolist()
-            for at in range(0, len(values), 256):
-                for t, *_ in index.find(values[at : at + 256]):
-                    out[at + t] = True
-            return pd.Series(out)
 
-        docs = docs.where(~leaky("text"))
-    return docs
+def _leaky(shared):
+    @F.pandas_udf("boolean")
+    def leaky(texts: pd.Series) -> pd.Series:
+        index, out = _index(shared), np.zeros(len(texts), bool)
+        values = texts.tolist()
+        for at in range(0, len(values), 256):
+            for t, *_ in index.find(values[at : at + 256]):
+                out[at + t] = True
+        return pd.Series(out)
+
+    return leaky
 
 
 def query(spark, sf_dir: str) -> DataFrame:
