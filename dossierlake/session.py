@@ -19,9 +19,17 @@ def session(app: str = "dossierlake", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
+#: Bytes of a batch that goes to a Python worker, and the default that it replaces: texts can be long.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "4m", 64 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, whatever their own path holds. Once for each context."""
+    """Make this package importable in Python workers, whatever their own path holds, and keep their
+    batches small unless the session sets its own size. Once for each context."""
     sc = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+        spark.conf.set(setting, BATCH_BYTES)
     if getattr(sc, "_dossierlake_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
