@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     batches small unless the session sets its own size. Once for each context."""
     sc = spark.sparkContext
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(setting, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+    if spark.conf.get(setting).rstrip("b") == str(DEFAULT_BATCH_BYTES):
         spark.conf.set(setting, BATCH_BYTES)
     if getattr(sc, "_dossierlake_shipped", False):
         return
