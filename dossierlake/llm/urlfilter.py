@@ -68,11 +68,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         (F.element_at("consequent", 1) == _BAD) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= LIFT)
     ).select(F.array_sort("antecedent").alias("tokens"))
     bad = materialize(bad, "rules")
-    smaller = bad.select(F.col("tokens").alias("part"))
-    needed = bad.join(
-        smaller, (F.element_at("part", 1) == F.element_at("tokens", 1)) & (F.size("part") < F.size("tokens"))
-        & (F.size(F.array_except("part", "tokens")) == 0), "left_anti",
-    )
+    smaller = bad.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("t"))
+    larger = bad.select("tokens", F.explode("tokens").alias("t")).join(smaller, "t")
+    implied = larger.where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct()
+    needed = bad.join(implied, "tokens", "left_anti")
     return needed.select(F.xxhash64("tokens").alias("rule_id"), "tokens")
 
 
