@@ -19,6 +19,8 @@ THRESHOLD = 0.93
 NEIGHBOURS, ROUNDS, SETTLED = 8, 5, 0.02
 #: Orders by random hyperplanes that the first lists are read from, how far each looks ahead, bits of an order.
 ORDERS, AHEAD, BITS = 3, 12, 24
+#: Vectors that one range of an order holds at least.
+RANGE = 1000
 #: What 8-bit copies of the vectors may be off by; candidates within it are settled in double precision.
 SLACK = 0.03
 #: Vectors of the audit, the recall it asks for, and how often the lists may be doubled to reach it.
@@ -86,7 +88,8 @@ def first_lists(held: DataFrame, k: int) -> DataFrame:
     """Lists to start from: vectors that stand close in an order by the signs of random projections.
     The order is dealt out by range, so neither a large label nor a full cell lands in one task."""
     spark = held.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a range border parts neighbours, so ranges are not small
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), held.count() // RANGE))
     out = None
     for order in range(ORDERS):
 

@@ -141,8 +141,8 @@ def test_boilerplate_by_suffix_array(spark):
     pages = [(i, f"http://shop.example/{i}", (SITE % ("offers", i)).replace("{w}", " ".join(f"w{i}x{j}" for j in range(30)))) for i in range(12)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     for r in htmltext.main_text(df).collect():
-        assert r.text.endswith(f"Story number {r.page_id} begins & goes on with words " + " ".join(f"w{r.page_id}x{j}" for j in range(30)))
-        assert "cart" not in r.text and "First" not in r.text and "cookies" not in r.text
+        # what every page says goes, also the first and last words of the story; the unique run stays
+        assert r.text == f"{r.page_id} " + " ".join(f"w{r.page_id}x{j}" for j in range(30))
 
 
 def test_suffix_array_order():
