@@ -5,15 +5,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 #: Components of a hypervector, and the seed of the random letter vectors.
 DIMENSION, SEED = 1024, 20240229
-#: Labelled documents that each language's profile is bundled from, chosen by hash of their id.
-SAMPLE_PER_LANGUAGE = 1500
+#: Labelled documents that each language's profile is bundled from, about, chosen by hash of their id;
+#: and the most languages there may be.
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1500, 10_000
+_BUCKETS = 1 << 30
 UNKNOWN = "und"
 #: Partitions that the sample is bundled in.
 _BUNDLERS = 6
@@ -125,15 +127,20 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimension: int = DIMENSION) -> tuple[list[str], np.ndarray]:
-    """Languages and their profiles: the bundle of the unit vectors of up to ``per_language`` labelled
-    documents each, the ones with the least hash of doc_id. Only text and non-null lang of documents
+    """Languages and their profiles: the bundle of the unit vectors of about ``per_language`` labelled
+    documents each, the ones with a small hash of doc_id, or all if there are fewer. Only text and non-null lang of documents
     that are not held out are read. What reaches the driver is bounded by the number of languages."""
     ship(docs.sparkSession)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    chosen = labelled.select("doc_id", "lang").withColumn("n", rank).where(F.col("n") <= per_language).select("doc_id").distinct()
-    # at most per_language rows of 8 bytes for each language
-    sample = labelled.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    counts = labelled.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
+    if not counts:
+        return [], np.zeros((0, dimension))
+    # a share of each language, decided row by row; at most MAX_LANGUAGES rows are sent to all tasks
+    cuts = docs.sparkSession.createDataFrame([(r.lang, -(-per_language * _BUCKETS // r.n)) for r in counts], "lang string, cut long")
+    sample = labelled.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(cuts), "lang")
+    sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)) < F.col("cut")).select("doc_id", "lang", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, sums = _space(dimension), {}
