@@ -52,6 +52,9 @@ def drop_bitmaps(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars:
         once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
         .where(F.col("n") >= min_documents).select("h1", "h2", "first")
     )
+    # a table of its own: both sides of the join are then dealt out for it, and a key that a third of all
+    # lines carry can be split over tasks when the plan runs
+    frequent = materialize(frequent, "frequent")
     gone = occ.join(frequent, ["h1", "h2"])
     if keep == "first":
         gone = gone.where(~F.col("first").eqNullSafe(F.struct("doc_id", "th", "pos")))
