@@ -5,7 +5,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Distinct pieces whose ids one worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NONE = 1 << 62
 
 
@@ -137,29 +137,28 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         raise ValueError("text is not kept; join it back where needed")
     key, ranks = _shared(docs.sparkSession, path, pattern)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(key, ranks)
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                part = frame.iloc[at : at + 512]
-                out = part[keep].copy()
-                out["ids"] = [enc.encode(t) if isinstance(t, str) else b"" for t in part["text"]]
-                yield out
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = pa.array([enc.encode(t) if t else b"" for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([docs.schema[c] for c in keep] + [StructField("ids", BinaryType())])
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds ``decoded``: the bytes that the token ids stand for. Null ids give null."""
     key, ranks = _shared(encoded.sparkSession, path, pattern)
 
-    @F.pandas_udf("binary")
-    def back(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def back(ids: pa.Array) -> pa.Array:
         enc = _encoder(key, ranks)
-        return pd.Series([None if x is None else enc.decode(x) for x in ids], dtype=object)
+        return pa.array([None if x is None else enc.decode(x) for x in ids.to_pylist()], pa.binary())
 
     return encoded.withColumn("decoded", back("ids"))
 
