@@ -20,10 +20,10 @@ class VersionedStore:
         self.fs.mkdirs(self._path(self.root))
 
     def current(self) -> str | None:
-        at = self._path(f"{self.root}/_current")
+        at = self._path(f"{self.root}/CURRENT")
         if not self.fs.exists(at):
             return None
-        row = self.spark.read.text(f"{self.root}/_current").first()
+        row = self.spark.read.text(f"{self.root}/CURRENT").first()
         return row.value if row else None
 
     def load(self) -> DataFrame:
@@ -43,7 +43,7 @@ class VersionedStore:
 
     def point(self, name: str) -> None:
         """Make a version the current one: the pointer is written aside and moved into place."""
-        aside, at = self._path(f"{self.root}/_next-{uuid.uuid4().hex}"), self._path(f"{self.root}/_current")
+        aside, at = self._path(f"{self.root}/_next-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
         out = self.fs.create(aside, True)
         out.write(bytearray(name.encode()))
         out.close()
