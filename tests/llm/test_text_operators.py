@@ -61,10 +61,26 @@ def test_merge_equals_library(reference_encoding):
         assert enc.decode(enc.encode(text)) == text.encode()
 
 
+def test_trees_of_many_pieces_equal_one_by_one():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), np.random.default_rng(6)
+    enc.learn({"some"})
+    for size in (2, 8, 32, 64):
+        pieces = [bytes(rng.choice(list(b"etaoin shrdlu"), rng.integers(size // 2 + 1, size + 1)).astype(np.uint8)) for _ in range(60)]
+        enc.learn(set())
+        pairs = enc.pairs
+        got = bpe.merge_many(pieces, pairs, enc.byte_ids, size)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [bpe.merge(p, ranks, enc.longest) for p in pieces]
+
+
 def test_bpe_cache_restarts():
     enc = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, remembered=3)
     text = "several quite different words stand here"
-    assert enc.decode(enc.encode(text)) == text.encode() and len(enc.known) <= 3
+    for _ in range(3):
+        assert enc.decode(enc.encode(text)) == text.encode()
+    enc.encode("all of these are other things")
+    enc.encode("and new ones")
+    assert not set(text.split()) & {p.strip() for p in [*enc.known, *enc.older]}
 
 
 def test_bpe_query(spark, odd, empty, reference_encoding):
