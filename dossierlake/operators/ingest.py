@@ -429,3 +429,53 @@ def failure_events(diagnostic_rows: DataFrame) -> DataFrame:
 def coalesced_metadata(pages: DataFrame, attributes: list[str], order: str = "page_number") -> DataFrame:
     """Per document the first non-null value of each attribute over its pages."""
     return pages.groupBy("document_id").agg(*[F.min_by(a, F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in attributes])
+
+
+def page_lines(html: str) -> list[tuple]:
+    """(block, line_no, n_lines, line) of the outermost explicit page containers of one file: elements of a
+    class page, with a data-page mark or a page-break style; none, if there are fewer than two."""
+    found: list[_Node] = []
+
+    def visit(node: _Node) -> None:
+        for x in node.items:
+            if isinstance(x, str):
+                continue
+            classes = x.attrs.get("class", "").lower().split()
+            if "page" in classes or any(k.startswith("data-page") for k in x.attrs) or re.search(r"page-break|break-(?:before|after)\s*:\s*page", x.attrs.get("style", "").lower()):
+                found.append(x)
+            else:
+                visit(x)
+
+    visit(parse_tree(html))
+    out = []
+    for no, node in enumerate(found if len(found) > 1 else []):
+        lines = [t for t in (x.text() for x in node.below("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "header", "footer") if not any(True for _ in x.below("p", "li", "div"))) if t]
+        out += [(no, i, len(lines), t) for i, t in enumerate(lines)]
+    return out
+
+
+def html_page_lines(pages: DataFrame) -> DataFrame:
+    """Lines of explicit pages within HTML files, ready for ``page_furniture`` with the file as document."""
+    rows = _parsed(pages, page_lines, ["page_block", "line_no", "n_lines", "line"], "page_block int, line_no int, n_lines int, line string")
+    return rows.select(F.col("page_id").alias("document_id"), F.concat_ws("-", "page_id", "page_block").alias("page_id"), "line_no", "n_lines", "line")
+
+
+def metadata_dates(metadata_rows: DataFrame) -> DataFrame:
+    """Date candidates (page_id, ord, raw, kind, precedence) of meta elements: published and issued first,
+    plain dates next, times of change never."""
+    key = F.lower("key")
+    kind = F.when(key.rlike("publish|issued"), "published").when(key.rlike("modif|updated"), "modified").when(key.rlike("date"), "date")
+    k, p = None, None
+    for name, (source, precedence) in DATE_META.items():
+        k = F.when(kind == name, source) if k is None else k.when(kind == name, source)
+        p = F.when(kind == name, precedence) if p is None else p.when(kind == name, precedence)
+    return metadata_rows.where(kind.isNotNull()).select("page_id", F.col("ordinal").alias("ord"), F.col("value").alias("raw"), k.alias("kind"), p.alias("precedence"))
+
+
+def pdf_metadata(documents: DataFrame) -> DataFrame:
+    """(document_id, title, description, dates) of a PDF's raw metadata map: subject is the description, times of
+    creation and change are technical."""
+    m = lambda k: F.nullif(F.trim(F.try_element_at("raw", F.lit(k))), F.lit(""))
+    date = lambda k, kind: F.struct(m(k).alias("raw"), F.lit(kind).alias("kind"))
+    dates = F.filter(F.array(date("PublicationDate", "semantic_metadata"), date("modDate", "modified_metadata"), date("creationDate", "technical_timestamp")), lambda d: d["raw"].isNotNull())
+    return documents.select("document_id", m("title").alias("title"), m("subject").alias("description"), dates.alias("dates"))

@@ -202,3 +202,13 @@ class Jobs:
 
     def shutdown(self, wait: bool = True) -> None:
         self.pool.shutdown(wait=wait, cancel_futures=True)
+
+
+def authorize_folders(bid_ids: list[str], references: list[str], root: str) -> list[str]:
+    """Folders that were submitted: each a direct child of the root that is named as a bid of the request."""
+    root = root.rstrip("/")
+    for ref in references:
+        parent, _, name = ref.rstrip("/").rpartition("/")
+        if parent != root or name in ("", ".", "..") or name not in bid_ids:
+            raise ValueError(f"folder {ref} is not allowed")
+    return references
