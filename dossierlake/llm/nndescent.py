@@ -213,7 +213,7 @@ def complete_groups(held: DataFrame, groups: DataFrame, threshold: float) -> Dat
     within the threshold. A list that is full of links is enlarged to its whole group, and groups are
     compared in blocks, so a large one is dealt out as pairs of blocks; only counts leave a block."""
     spark = held.sparkSession
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    sizes = materialize(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "sizes")
     rows = groups.join(sizes, "component").join(held.select("pid", "kind", "n", "e"), "pid")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("pid"), "chunks").cast("int")).select(
         "component", "pid", "n", "e", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
@@ -315,7 +315,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         components = materialize(connected_components(links), "components")
         full = lists.groupBy("u").agg(F.count_if(F.col("s") >= threshold - SLACK).alias("f")).where(F.col("f") >= k).select("u")
         dense = full.join(components, full.u == components.id).select("component").distinct()
-        groups = components.join(dense, "component", "left_semi").select(F.col("id").alias("pid"), "component")
+        # a table of its own, whose rows are counted before they are dealt out by group
+        groups = materialize(components.join(dense, "component", "left_semi").select(F.col("id").alias("pid"), "component"), "groups")
         completed = materialize(complete_groups(held, groups, threshold), "dense")
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         listed = both.join(held.select(F.col("pid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("m"))
