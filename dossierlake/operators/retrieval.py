@@ -124,12 +124,24 @@ def _top(scored: DataFrame, limit: int | None, by: tuple = ("query_id",)) -> Dat
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def _counts(records: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (record_id, term, tf) of the query terms only, and each record's length."""
-    tokenized = records.select("record_id", "toks")
-    wanted = terms.select("term").distinct()
-    posts = tokenized.select("record_id", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
-    return posts.groupBy("record_id", "term").agg(F.count("*").alias("tf")), tokenized.select("record_id", F.size("toks").alias("len"))
+def _counts(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (record_id, len, term, tf) of the query terms only, with each record's length: one scan."""
+    posts = records.select("record_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    return posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("record_id", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def _squares(toks) -> Column:
+    """Sum of the squared counts of an array's distinct tokens, in one pass over the sorted array."""
+    start = F.expr("named_struct('t', '', 'run', 0L, 'sum', 0L)")
+
+    def step(s, t):
+        same = s["t"] == t
+        return F.named_struct(
+            F.lit("t"), t, F.lit("run"), F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("long")),
+            F.lit("sum"), s["sum"] + F.when(same, 2 * s["run"] + 1).otherwise(F.lit(1).cast("long")),
+        )
+
+    return F.aggregate(F.array_sort(toks), start, step)["sum"]
 
 
 def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50) -> DataFrame:
@@ -142,10 +154,10 @@ def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None
     q = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"), F.array_distinct(tokens("query")).alias("qtoks"))
     q = q.withColumn("ids", identifiers(F.col("qtoks")))
     terms = q.select("query_id", F.explode("qtoks").alias("term"))
-    tf, _ = _counts(r, terms)
+    tf = _counts(r, terms)
     stats = r.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").join(terms, "term").join(r.select("record_id", F.size("toks").alias("len")), "record_id").crossJoin(F.broadcast(stats))
+    hits = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     bm25 = hits.withColumn("part", idf * part).groupBy("query_id", "record_id").agg(
@@ -162,13 +174,11 @@ def semantic_candidates(records: DataFrame, queries: DataFrame, limit: int | Non
     """(query_id, record_id, score, rank): cosine of the token counts of query and text."""
     r = records.withColumn("toks", tokens("text"))
     terms = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tf, _ = _counts(r, terms)
-    # a record's norm: counts of its own distinct tokens, on its own row, without a shuffle
-    square = F.aggregate(F.array_distinct("toks"), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter("toks", lambda x: x == t)), 2))
+    tf = _counts(r, terms)
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))
     dot = tf.join(terms, "term").groupBy("query_id", "record_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
     hit = dot.select("record_id").distinct()
-    norms = r.join(hit, "record_id", "left_semi").select("record_id", F.sqrt(square).alias("rn"))
+    norms = r.join(hit, "record_id", "left_semi").select("record_id", F.sqrt(_squares(F.col("toks"))).alias("rn"))
     scored = dot.join(norms, "record_id").join(qnorm, "query_id")
     return _top(scored.select("query_id", "record_id", F.round(F.col("dot") / (F.col("rn") * F.col("qn")), 6).alias("score")).where("score > 0"), limit)
 

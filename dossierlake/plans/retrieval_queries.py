@@ -84,13 +84,13 @@ def token_cosine_topk(spark, sf):
 
 
 IDENT = values([(1, "Customer 000000007"), (2, "Supplier 000000003"), (3, "name zx-2100"), (4, "customer")], "query_id, query")
-NAMES = "(SELECT c_custkey AS record_id, 'c' AS bid_id, c_name AS text FROM customer UNION ALL SELECT -s_suppkey, 's', s_name FROM supplier)"
+NAMES = "(SELECT 2 * c_custkey AS record_id, 'c' AS bid_id, c_name AS text FROM customer UNION ALL SELECT 2 * s_suppkey + 1, 's', s_name FROM supplier)"
 
 
 @query("identifier_gate", f"WITH {keyword_sql(IDENT, NAMES, 5)} SELECT {OUT} FROM kw")
 def identifier_gate(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("record_id"), F.lit("c").alias("bid_id"), F.col("c_name").alias("text"))
-    s = table(spark, sf, "supplier").select((-F.col("s_suppkey")).cast("long").alias("record_id"), F.lit("s").alias("bid_id"), F.col("s_name").alias("text"))
+    c = table(spark, sf, "customer").select((2 * F.col("c_custkey")).cast("long").alias("record_id"), F.lit("c").alias("bid_id"), F.col("c_name").alias("text"))
+    s = table(spark, sf, "supplier").select((2 * F.col("s_suppkey") + 1).cast("long").alias("record_id"), F.lit("s").alias("bid_id"), F.col("s_name").alias("text"))
     asked = _queries(spark, [(1, "Customer 000000007"), (2, "Supplier 000000003"), (3, "name zx-2100"), (4, "customer")])
     return R.keyword_candidates(c.unionAll(s), asked, 5).selectExpr(*SELECTED)
 
