@@ -249,14 +249,16 @@ def fuse(candidates: DataFrame) -> DataFrame:
 
 def dedup_exact(ranked: DataFrame) -> DataFrame:
     """The best ranked of those that say the same on the same page; its methods hold all of theirs."""
-    place = ["query_id", "bid_id", "source_file", "page_number", "same"]
-    keyed = ranked.withColumn("same", same_text_key("text"))
-    first = Window.partitionBy(*place).orderBy("rank")
-    # one methods string per duplicate group, not per row: a small set, whatever the group's size
-    kept = keyed.withColumn("n", F.row_number().over(first))
-    methods = keyed.groupBy(*place).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("methods", ","))))), ",").alias("all_methods"))
-    joined = kept.where("n = 1").join(methods, [kept[c].eqNullSafe(methods[c]) for c in place])
-    return joined.select(*[kept[c] for c in ranked.columns if c != "methods"], F.col("all_methods").alias("methods"))
+    place = Window.partitionBy("query_id", "bid_id", "source_file", "page_number", same_text_key("text"))
+    # the distinct method strings of a group are few, whatever its size
+    methods = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("methods", ",")).over(place)))), ",")
+    numbered = ranked.withColumns({"n": F.row_number().over(place.orderBy("rank")), "all_methods": methods})
+    return numbered.where("n = 1").withColumn("methods", F.col("all_methods")).select(*ranked.columns)
+
+
+def _similar(a: str, b: str, ratio: float) -> bool:
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= ratio and m.ratio() >= ratio
 
 
 def dedup_fuzzy(ranked: DataFrame, ratio: float = 0.9) -> DataFrame:
@@ -273,8 +275,8 @@ def dedup_fuzzy(ranked: DataFrame, ratio: float = 0.9) -> DataFrame:
             key = " ".join(text.lower().split())
             for other, first in kept:
                 short, long = sorted((len(key), len(other)))
-                # the ratio cannot exceed twice the shorter over both
-                if key == other or short + long and 2 * short / (short + long) >= ratio and SequenceMatcher(None, other, key).ratio() >= ratio:
+                # cheap upper bounds of the ratio come first: by the lengths, then by the counts of letters
+                if key == other or short + long and 2 * short / (short + long) >= ratio and _similar(other, key, ratio):
                     methods[first] |= set(how.split(","))
                     break
             else:
