@@ -226,12 +226,11 @@ def running_heading(lines: DataFrame, order: list[str], by: str = "document_id")
 def classify_filename(path) -> Column:
     """A document type from markers in the file's name."""
     name = F.lower(F.element_at(F.split(col(path), "/"), -1))
-    has = lambda *w: F.lit(False) if not w else [F.contains(name, F.lit(x)) for x in w]
 
-    def some(*words):
+    def some(*words: str) -> Column:
         out = F.lit(False)
-        for c in has(*words):
-            out = out | c
+        for w in words:
+            out = out | F.contains(name, F.lit(w))
         return out
 
     return (
