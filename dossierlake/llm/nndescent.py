@@ -23,8 +23,9 @@ ORDERS, AHEAD, BITS = 3, 12, 24
 RANGE = 1000
 #: What 8-bit copies of the vectors may be off by; candidates within it are settled in double precision.
 SLACK = 0.03
-#: Vectors of the audit, the recall it asks for, and how often the lists may be doubled to reach it.
-AUDITED, RECALL, DOUBLINGS = 256, 0.97, 2
+#: Vectors that the audit takes at a time, those with a link that it must have seen, the recall it asks
+#: for, and how often the lists may be doubled before all is compared in blocks.
+AUDITED, ENOUGH, RECALL, DOUBLINGS = 2048, 200, 0.97, 2
 #: Vectors of one block where the lists of a saturated group are completed.
 BLOCK = 2048
 
@@ -84,14 +85,14 @@ def _best(u, v, s, new, k: int) -> pd.DataFrame:
     return f[f.groupby("u").cumcount() < k]
 
 
-def first_lists(held: DataFrame, k: int) -> DataFrame:
+def first_lists(held: DataFrame, k: int, first: int = 0) -> DataFrame:
     """Lists to start from: vectors that stand close in an order by the signs of random projections.
     The order is dealt out by range, so neither a large label nor a full cell lands in one task."""
     spark = held.sparkSession
     # a range border parts neighbours, so ranges are not small
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), held.count() // RANGE))
     out = None
-    for order in range(ORDERS):
+    for order in range(first, first + ORDERS):
 
         def code(frames: Iterator[pd.DataFrame], order=order) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -210,8 +211,13 @@ def verified(held: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
 
 def complete_groups(held: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(u, links): for each vector of ``groups(pid, component)`` the rows of other vectors of its group
-    within the threshold. A list that is full of links is enlarged to its whole group, and groups are
-    compared in blocks, so a large one is dealt out as pairs of blocks; only counts leave a block."""
+    within the threshold. A list that is full of links is enlarged to its whole group."""
+    return _in_blocks(held, groups, threshold).groupBy("u").agg(F.sum("links").alias("links"))
+
+
+def _in_blocks(held: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(u, links, root): groups are compared in blocks, so a large one is dealt out as pairs of blocks;
+    only counts leave a block, and for each vector the least one that it is connected with there."""
     spark = held.sparkSession
     sizes = materialize(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "sizes")
     rows = groups.join(sizes, "component").join(held.select("pid", "kind", "n", "e"), "pid")
@@ -237,15 +243,16 @@ def complete_groups(held: DataFrame, groups: DataFrame, threshold: float) -> Dat
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "component", "ci", "cj").sortWithinPartitions("component", "ci", "cj")
-    return dealt.mapInPandas(count, "u long, links long").groupBy("u").agg(F.sum("links").alias("links"))
+    return dealt.mapInPandas(count, "u long, links long, root long")
 
 
 def _count(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    g = g.sort_values("pid", kind="stable")
     e, n, c, pid = _matrix(g["e"], np.float64), g["n"].to_numpy(), g["c"].to_numpy(), g["pid"].to_numpy()
     same = g["ci"].iloc[0] == g["cj"].iloc[0]
     left = np.arange(len(g)) if same else np.flatnonzero(c == g["ci"].iloc[0])
     right = left if same else np.flatnonzero(c == g["cj"].iloc[0])
-    links = np.zeros(len(g), np.int64)
+    links, root = np.zeros(len(g), np.int64), np.arange(len(g))
     for at in range(0, len(left), 512):
         some = left[at : at + 512]
         hit = e[some] @ e[right].T >= threshold
@@ -254,15 +261,49 @@ def _count(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
         links[some] += hit @ n[right]
         if not same:
             links[right] += n[some] @ hit
-    return pd.DataFrame({"u": pid, "links": links})
-
-
-def _audit(held: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDITED vectors, chosen by hash, that were found; they are compared with
-    every vector. The chosen ones are a fixed number, so they can be sent to all tasks."""
-    chosen = held.orderBy(F.xxhash64("pid"), "pid").limit(AUDITED).select("pid", "kind", "e").toPandas()
-    if not len(chosen):
-        return 1.0
+        for i in np.flatnonzero(hit.any(axis=1)):
+            ends = np.append(root[right[hit[i]]], root[some[i]])
+            least = ends.min()
+            if (ends != least).any():
+                root[np.isin(root, ends)] = least
+    return pd.DataFrame({"u": pid, "links": links, "root": pid[root]})
+
+
+def exact_links(held: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """found (u, links) and components (id, component) of all vectors, each compared with all of its kind."""
+    groups = held.select("pid", F.col("kind").alias("component"))
+    blocks = materialize(_in_blocks(held, groups, threshold).where("links > 0"), "exact")
+    components = materialize(connected_components(blocks.select(F.col("u").alias("a"), F.col("root").alias("b"))), "components")
+    return materialize(blocks.groupBy("u").agg(F.sum("links").alias("links")), "found"), components
+
+
+def _audit(held: DataFrame, found: DataFrame, completed: DataFrame, threshold: float) -> float:
+    """Mean share of an audited vector's links that were found, over the vectors that have one. Vectors
+    are taken in the order of a hash, AUDITED at a time, and compared with every vector, until ENOUGH
+    outside of completed groups have a link or all were taken. Those of completed groups are judged
+    apart, since there are many and they lose little; the lower mean of both counts."""
+    shares: dict[bool, list[float]] = {True: [], False: []}
+    queue = held.select("pid", "kind", "e", F.xxhash64("pid").alias("h"))
+    last = None
+    while len(shares[False]) < ENOUGH:
+        rest = queue if last is None else queue.where((F.col("h") > last[0]) | (F.col("h") == last[0]) & (F.col("pid") > last[1]))
+        chosen = rest.orderBy("h", "pid").limit(AUDITED).toPandas()
+        if not len(chosen):
+            break
+        last = int(chosen["h"].iloc[-1]), int(chosen["pid"].iloc[-1])
+        true = _true_links(held, chosen, threshold)
+        ids = held.sparkSession.createDataFrame([(int(p), int(t)) for p, t in zip(chosen["pid"], true) if t], "pid long, true long")
+        judged = found.join(F.broadcast(ids), F.col("u") == F.col("pid")).select("pid", "links")  # at most AUDITED ids
+        links = {r.pid: r.links for r in judged.collect()}
+        dense = {r.u for r in completed.join(F.broadcast(ids), F.col("u") == F.col("pid")).select("u").collect()}
+        for p, t in zip(chosen["pid"], true):
+            if t:
+                shares[int(p) in dense].append(min(links.get(int(p), 0), int(t)) / int(t))
+    return min((sum(x) / len(x) for x in shares.values() if x), default=1.0)
+
+
+def _true_links(held: DataFrame, chosen: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Links of the chosen vectors, at most AUDITED, which are sent to all tasks."""
     shared = held.sparkSession.sparkContext.broadcast((chosen["pid"].to_numpy(), chosen["kind"].tolist(), chosen["e"].tolist()))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,20 +312,24 @@ def _audit(held: DataFrame, found: DataFrame, threshold: float) -> float:
         by_kind: dict[str, list[int]] = {}
         for i, name in enumerate(kind):
             by_kind.setdefault(name, []).append(i)
+        known = {name: _matrix(pd.Series([e[i] for i in at]), np.float64) for name, at in by_kind.items()}
         for f in frames:
             for name, g in f.groupby("kind"):
-                at = by_kind.get(name)
-                if at:
-                    hit = _matrix(pd.Series([e[i] for i in at]), np.float64) @ _matrix(g["e"], np.float64).T >= threshold
-                    hit &= pid[at][:, None] != g["pid"].to_numpy()[None, :]
-                    total[at] += hit @ g["n"].to_numpy()
-        yield pd.DataFrame({"pid": pid, "true": total})
-
-    true = held.select("pid", "kind", "n", "e").mapInPandas(count, "pid long, true long").groupBy("pid").agg(F.sum("true").alias("true"))
-    both = true.join(found, true.pid == found.u, "left").agg(
-        F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")
-    ).first()
-    return 1.0 if not both.t else both.f / both.t
+                if name not in known:
+                    continue
+                at, other, n, ids = np.array(by_kind[name]), _matrix(g["e"], np.float64), g["n"].to_numpy(), g["pid"].to_numpy()
+                for k in range(0, len(at), 256):
+                    some = at[k : k + 256]
+                    hit = known[name][k : k + 256] @ other.T >= threshold
+                    hit &= pid[some][:, None] != ids[None, :]
+                    total[some] += hit @ n
+        yield pd.DataFrame({"i": np.arange(len(pid)), "true": total})
+
+    true = np.zeros(len(chosen), np.int64)
+    for r in held.select("pid", "kind", "n", "e").mapInPandas(count, "i long, true long").groupBy("i").agg(F.sum("true").alias("true")).collect():
+        true[r.i] = r.true
+    shared.unpersist()
+    return true
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -297,7 +342,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     as vectors that link. Ties in a list go to the smaller vec_id. Further columns are ignored. An
     empty table gives no rows.
 
-    After each run of rounds the recall of links is audited; below RECALL the lists are doubled.
+    After each run of rounds the recall of a vector's links is audited; below RECALL the lists are
+    doubled and read from further orders too, DOUBLINGS times; then all vectors of a label are compared
+    in blocks, and the result is exact.
     """
     ship(vectors.sparkSession)
     held, members = points(vectors)
@@ -322,13 +369,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         listed = both.join(held.select(F.col("pid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("m"))
         found = listed.join(completed, listed.a == completed.u, "left").select(F.col("a").alias("u"), F.coalesce("links", "m").alias("links"))
         found = materialize(found, "found")
-        recall = _audit(held, found, threshold)
+        recall = _audit(held, found, completed, threshold)
         log.info("lists of %d: recall %.3f", k, recall)
-        if recall >= RECALL or doubling == DOUBLINGS:
+        if recall >= RECALL:
+            break
+        if doubling == DOUBLINGS:
+            found, components = exact_links(held, threshold)
             break
         k *= 2
         # a longer list has room again: every entry counts as new once more
-        reopened = materialize(lists.withColumn("new", F.lit(True)), "lists")
+        further = first_lists(held, k, (doubling + 1) * ORDERS)
+        reopened = materialize(_merged(lists.select("u", "v", "s", F.lit(True).alias("new")).unionAll(further), k), "lists")
         discard(lists)
         lists = reopened
     each = held.select("pid", "n").join(found, held.pid == found.u, "left").join(components, F.col("pid") == F.col("id"), "left").select(

@@ -101,6 +101,16 @@ def test_blocks_of_a_dense_group(spark, monkeypatch):
     assert got == want and max(n for n, _ in want.values()) > nndescent.NEIGHBOURS
 
 
+def test_a_dense_group_does_not_hide_lost_links(spark, monkeypatch):
+    """Short orders and one round lose links of ordinary pairs, which a dense group outweighs in links."""
+    for name, value in (("ORDERS", 1), ("AHEAD", 1), ("ROUNDS", 1), ("DOUBLINGS", 0), ("BLOCK", 64)):
+        monkeypatch.setattr(nndescent, name, value)
+    vectors = [(v, [float(np.float32(x)) for x in e], l) for v, e, l in planted(9)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df).collect()}
+    assert got == brute_links(vectors)
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (5, [None, 1.0], 1), (6, [1.0, 0.0], None), (7, [1.0, 0.0], 1), (8, [2.0, 0.0], 1), (9, [1.0, 0.0], 2),
