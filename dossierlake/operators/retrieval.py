@@ -395,25 +395,48 @@ def search(records: DataFrame, queries: DataFrame, configuration: str = "hybrid"
 
     ``configuration``: keyword-only, semantic-only or hybrid; ``vectors`` are candidates (query_id,
     record_id, rank) of a dense search, which then takes the token cosine's place beside keywords.
+    ``candidate_limit`` is doubled for the queries whose results without duplicates are fewer than
+    ``top_k``, as long as that brings new candidates.
     """
     if configuration not in ("keyword-only", "semantic-only", "hybrid"):
         raise ValueError(configuration)
+    found, limit, open_, before = None, candidate_limit, queries, {}
+    n_records = records.count()
+    while True:
+        fused = _fused_candidates(records, open_, configuration, vectors, limit).persist()  # read twice
+        placed = fused.join(records, "record_id").join(open_.select("query_id", "query"), "query_id")
+        unique = dedup_fuzzy(dedup_exact(placed)).persist()
+        have = fused.groupBy("query_id").agg(F.count("*").alias("n")).join(unique.groupBy("query_id").agg(F.count("*").alias("u")), "query_id")
+        # larger limits only add candidates, so equal counts are equal candidates
+        counts = {r.query_id: (r.n, r.u) for r in have.collect()}
+        wider = [] if vectors is None and limit >= n_records else [q for q, (n, u) in counts.items() if u < top_k and n != before.get(q)]
+        again = queries.sparkSession.createDataFrame([(q,) for q in wider], queries.select("query_id").schema)
+        done = unique.join(again, "query_id", "left_anti") if wider else unique
+        found = done if found is None else found.unionByName(done)
+        if not wider:
+            break
+        before, limit = {q: counts[q][0] for q in wider}, limit * 2
+        open_ = open_.join(again, "query_id", "left_semi")
+    final = rerank(found).where(F.col("rank") <= top_k)
+    return apply_authority(final)
+
+
+def _fused_candidates(records: DataFrame, queries: DataFrame, configuration: str, vectors: DataFrame | None, limit: int) -> DataFrame:
     variants = expand(queries)
     text = variants.select(F.concat_ws("#", "query_id", "variant_no").alias("query_id"), F.col("variant").alias("query"))
     original = lambda c: c.withColumn("query_id", F.substring_index("query_id", "#", 1).cast("long"))
     some = []
     if configuration != "semantic-only":
-        some.append(original(keyword_candidates(records, text, candidate_limit)).withColumn("method", F.lit("keyword")))
+        some.append(original(keyword_candidates(records, text, limit)).withColumn("method", F.lit("keyword")))
     if configuration != "keyword-only":
-        some.append(original(semantic_candidates(records, text, candidate_limit)).withColumn("method", F.lit("semantic")))
+        some.append(original(semantic_candidates(records, text, limit)).withColumn("method", F.lit("semantic")))
         if vectors is not None:
-            some.append(vectors.select("query_id", "record_id", "score", "rank").withColumn("method", F.lit("semantic")))
+            mine = vectors.join(queries.select("query_id"), "query_id", "left_semi")
+            some.append(mine.select("query_id", "record_id", "score", "rank").withColumn("method", F.lit("semantic")))
     every = some[0]
     for s in some[1:]:
         every = every.unionByName(s)
-    fused = fuse(every).join(records, "record_id").join(queries.select("query_id", "query"), "query_id")
-    final = rerank(dedup_exact(fused)).where(F.col("rank") <= top_k)
-    return apply_authority(final)
+    return fuse(every)
 
 
 def envelopes(queries: DataFrame, results: DataFrame, matched: DataFrame) -> DataFrame:

@@ -184,6 +184,15 @@ def test_duplicates_do_not_crowd_out(spark):
     assert {r.record_id for r in got.collect()} == {"r00", "r99", "r98"}
 
 
+def test_copies_do_not_fill_the_candidates(spark):
+    rows = [(f"r{i:03}", "b1", "laptop warranty", "f", 1) for i in range(120)]
+    rows += [(f"s{i}", "b2", f"laptop warranty of the model that hall number {w} holds", "f", i) for i, w in enumerate(("one", "two", "three", "four", "five"))]
+    rows += [(f"t{i:02}", "b3", f"laptop warranty of the long and careful text about all {i:02}", "f", 1) for i in range(3)]
+    for how in ("keyword-only", "semantic-only", "hybrid"):
+        got = {r.record_id for r in retrieval.search(make_records(spark, rows), queries(spark, "laptop warranty"), how, 7).collect()}
+        assert got == {"r000", "t00", *(f"s{i}" for i in range(5))}
+
+
 def test_fuzzy_duplicates(spark):
     base = "the laptop must have sixteen gigabytes of memory and a display"
     rows = [(1, "b", "f", 1, "r1", base, 1, "keyword"), (1, "b", "f", 1, "r2", base + " x", 2, "semantic"), (1, "b", "f", 2, "r3", base, 3, "keyword"), (1, "b", "f", 1, "r4", "all else", 4, "keyword")]
