@@ -27,7 +27,7 @@ _HAS_CANDIDATE = r"[A-Za-z0-9+/_=.-]{20}"
 MODEL_KIND = "markov"
 #: States of the models: letters, digits, one for each of the marks, and one for all else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
-#: Mean log-likelihood ratio per character from which a string counts as random.
+#: Mean log-likelihood ratio per character of a stretch from which a string counts as random.
 THRESHOLD = 1.5
 #: Documents whose words are samples of ordinary identifiers (those of least hash), and random samples of each form.
 SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 100, 2000
@@ -106,16 +106,34 @@ def _constant(values: tuple[float, ...]):
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
 
 
-def ratio(col, model: Model):
-    """Mean log-likelihood ratio of a string's characters."""
+def surplus(col, model: Model, threshold: float, least: int = LEAST):
+    """The greatest sum of log-likelihood ratios less ``threshold`` each over a stretch of ``least``
+    characters or more: 0 or more where some stretch's mean reaches the threshold, whatever ordinary
+    characters stand around it."""
     n = len(ALPHABET) + 1
     table, first = _constant(model.ratios), _constant(model.firsts)
-    start = F.named_struct(F.lit("at"), F.lit(-1), F.lit("sum"), F.lit(0.0))
-    total = F.aggregate(
-        _states(col), start,
-        lambda s, b: F.named_struct(F.lit("at"), b, F.lit("sum"), s["sum"] + F.when(s["at"] < 0, F.get(first, b)).otherwise(F.get(table, s["at"] * n + b))),
-    )["sum"]
-    return total / F.greatest(F.char_length(col), F.lit(1))
+    zero = F.lit(0.0)
+
+    def scores(states):
+        return F.zip_with(F.concat(F.array(F.lit(-1)), F.slice(states, F.lit(1), F.size(states) - 1)), states, lambda a, b: F.when(
+            a < 0, F.get(first, b)).otherwise(F.get(table, a * n + b)) - threshold)
+
+    def walk(x):
+        # with each character the one that leaves the window of the last ``least``: window + best stretch that ends before it
+        lagged = F.slice(F.concat(F.array_repeat(zero, least), x), F.lit(1), F.size(x))
+        start = F.named_struct(F.lit("k"), F.lit(0), F.lit("window"), zero, F.lit("before"), zero, F.lit("best"), F.lit(float("-inf")))
+
+        def step(s, p):
+            window = s["window"] + p["x"] - p["gone"]
+            before = F.greatest(zero, s["before"] + p["gone"])
+            best = F.when(s["k"] + 1 >= least, F.greatest(s["best"], window + before)).otherwise(s["best"])
+            return F.named_struct(F.lit("k"), s["k"] + 1, F.lit("window"), window, F.lit("before"), before, F.lit("best"), best)
+
+        return F.aggregate(F.zip_with(x, lagged, lambda x, y: F.struct(x.alias("x"), y.alias("gone"))), start, step)["best"]
+
+    # arrays of one bind a value, so it is computed once
+    bound = F.transform(F.array(_states(col)), scores)
+    return F.get(F.transform(bound, walk), F.lit(0))
 
 
 _SPANS = "cast(array() as array<struct<start:bigint,end:bigint,kind:string,value:string>>)"
@@ -144,7 +162,8 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     """(doc_id, base, extra) for every document: arrays of (start, end, kind), end exclusive, in code points.
 
     ``base`` are the matches of PATTERNS by start, then kind as listed; ``extra`` the runs of candidate
-    characters that overlap none of them and whose mean log-likelihood ratio reaches the threshold.
+    characters that overlap none of them and in which the mean log-likelihood ratio of some stretch of
+    LEAST characters or more reaches the threshold; the whole run is the span.
     Null or empty text: no spans. Repeated rows: each scanned. Texts of any length are scanned whole.
     Further columns are ignored. An empty table gives no rows.
     """
@@ -161,7 +180,7 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     out = out.withColumn("base", F.array_sort(placed))
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    extra = F.filter(free, lambda c: ratio(c["value"], model) >= threshold)
+    extra = F.filter(free, lambda c: surplus(c["value"], model, threshold) >= -1e-9)
     return out.select("doc_id", *kinds, "base", F.transform(extra, lambda s: F.struct(
         s["start"].alias("start"), F.lit(len(kinds) + 1).cast("long").alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("extra"))
 

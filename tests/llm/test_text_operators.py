@@ -1,5 +1,6 @@
 """Brute-force comparisons and edge cases of the operators on document texts."""
 import hashlib
+import random
 import re
 import zlib
 
@@ -340,3 +341,14 @@ def test_secret_edges(spark, odd, empty):
     assert secretscan.scan(odd, model).count() == len(ODD) and secretscan.scan(empty, model).count() == 0
     n = len(secretscan.ALPHABET) + 1
     assert len(secretscan.train(empty).ratios) == n * n
+
+
+def test_secrets_within_long_paths(spark):
+    model = secretscan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = random.Random(3)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    around = ("hooks.example.com/services/", "www.example.com/account/reset/", "/home/user/projects/service/config/credentials/", "/home/user/projects/" * 12)
+    rows = [(i, "see " + around[i % 4] + "".join(rng.choice(pool) for _ in range(32)) + "/and/more/ordinary/parts/of/the/path now") for i in range(200)]
+    plain = [(1000 + i, "see " + a + "and/more/ordinary/parts/of/the/path now") for i, a in enumerate(around)]
+    got = {r.doc_id: len(r.extra) for r in secretscan.scan(spark.createDataFrame(rows + plain, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] for i, _ in rows) >= 0.98 * len(rows) and not any(got[i] for i, _ in plain)
