@@ -1,6 +1,7 @@
 """HTML main text: page structure, and per host a suffix array that shows repeated boilerplate."""
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import materialize
 
 #: Words that a repeated run must have, and the distinct pages it must stand on.
 MIN_RUN, MIN_PAGES = 6, 3
-#: Pages of one suffix array. A host with more is dealt out by hash into arrays of about so many:
-#: what a site repeats on its pages, it repeats on any few hundred of them.
+#: Pages of one suffix array. A host with more is dealt out by hash into arrays of about so many, and
+#: the pages of a run are counted over all arrays of the host.
 SHARD = 256
 #: Hosts above SHARD pages that are looked up in memory; with more of them, a join does it.
 MAX_LARGE_HOSTS = 10_000
@@ -141,8 +143,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = MIN_RUN) -> tupl
     return np.argsort(rank, kind="stable"), rank, whole
 
 
-def _host_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
-    """The main text of each page of one host (or a share of it)."""
+def _streams(pages: list[list[tuple[str, str]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of all pages, the page of each, and for each page the first one equal to it."""
     words, page = [], []
     seen: dict[int, int] = {}
     source = []
@@ -154,16 +156,58 @@ def _host_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
             w = text.split(" ")
             words += w
             page += [i] * len(w)
+    return words, np.array(page, np.int64), np.array(source, np.int64)
+
+
+def _run_hashes(words: list[str], starts: np.ndarray) -> np.ndarray:
+    """A hash of MIN_RUN words from each of the places, equal in every process."""
+    codes, distinct = pd.factorize(np.array(words, dtype=object))
+    each = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(MIN_RUN):
+        out = (out ^ each[codes[starts + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _runs(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, page): hashes of the runs of one array's pages and of distinct pages each stands on, at most MIN_PAGES of them."""
+    words, page_no, source = _streams(pages)
     if not words:
-        return [""] * len(pages)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     tokens = pd.factorize(np.array(words, dtype=object))[0]
-    page_no = np.array(page)
-    order, rank, whole = repeated(tokens, page_no)
-    classes = rank.max() + 1
-    distinct = np.array(source)[page_no]
-    pairs = np.unique(np.stack([rank[whole], distinct[whole]], axis=1), axis=0)
-    on_pages = np.bincount(pairs[:, 0], minlength=classes)
-    hit = order[whole[order] & (on_pages[rank[order]] >= MIN_PAGES)]
+    _, rank, whole = repeated(tokens, page_no)
+    starts = np.flatnonzero(whole)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    distinct = source[page_no[starts]]
+    _, at = np.unique(np.stack([rank[starts], distinct], axis=1), axis=0, return_index=True)
+    of_class = rank[starts[at]]
+    at = at[np.arange(len(at)) - np.searchsorted(of_class, of_class) < MIN_PAGES]
+    keys = [int.from_bytes(hashlib.blake2b(_BREAK.join(k + t for k, t in p).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for p in pages]
+    return _run_hashes(words, starts[at]), np.array(keys, np.int64)[distinct[at]]
+
+
+def _host_texts(pages: list[list[tuple[str, str]]], common: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one host, or of a share of it; then ``common`` are the hashes of
+    the runs that stand on enough pages of the host."""
+    words, page_no, source = _streams(pages)
+    if not words:
+        return [""] * len(pages)
+    if common is None:
+        tokens = pd.factorize(np.array(words, dtype=object))[0]
+        order, rank, whole = repeated(tokens, page_no)
+        classes = rank.max() + 1
+        distinct = source[page_no]
+        pairs = np.unique(np.stack([rank[whole], distinct[whole]], axis=1), axis=0)
+        on_pages = np.bincount(pairs[:, 0], minlength=classes)
+        hit = order[whole[order] & (on_pages[rank[order]] >= MIN_PAGES)]
+    elif len(common) and len(words) >= MIN_RUN:
+        starts = np.arange(len(words) - MIN_RUN + 1)
+        starts = starts[page_no[MIN_RUN - 1 :] == page_no[: len(starts)]]
+        hit = starts[np.isin(_run_hashes(words, starts), common)]
+    else:
+        hit = np.zeros(0, np.int64)
     covered = np.zeros(len(words), bool)
     for k in range(MIN_RUN):
         covered[hit + k] = True
@@ -203,7 +247,7 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
     A page is cut into blocks; elements such as nav, footer or aside, and names such as ad, sidebar or
     comments, mark boilerplate, article and main the main region. The token streams of the pages of one
     host are concatenated and sorted as a suffix array; runs of MIN_RUN words or more on MIN_PAGES
-    distinct pages are boilerplate wherever no main region is marked: they are removed and the unique
+    distinct pages of the host are boilerplate wherever no main region is marked: they are removed and the unique
     runs between them stay. A marked main region is whole, but for what its own markup excludes. What
     is left is joined by one space.
 
@@ -222,7 +266,7 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
     else:
         sized = rows.join(large, "host", "left")
     shards = F.coalesce(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), shards)).select("host", "shard", "page_id", "url", "html")
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), shards)).withColumn("shards", shards).select("host", "shard", "shards", "page_id", "url", "html")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -231,12 +275,39 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
                 texts = [_BREAK.join(k + t for k, t in blocks(h)) if isinstance(h, str) else "" for h in part["html"]]
                 yield part[["host", "shard", "page_id", "url"]].assign(blocks=texts)
 
+    def bare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hosts with a page that marks no main region: only there do runs change a text."""
+        for f in cut(frames):
+            kinds = f["blocks"].map(lambda x: {b[0] for b in x.split(_BREAK)} if x else set())
+            yield f[kinds.map(lambda k: OTHER in k and MAIN not in k)][["host"]].drop_duplicates()
+
+    def lists(f: pd.DataFrame) -> list[list[tuple[str, str]]]:
+        return [[(b[0], b[1:]) for b in x.split(_BREAK)] if x else [] for x in f["blocks"]]
+
+    def runs(f: pd.DataFrame) -> pd.DataFrame:
+        run, page = _runs(lists(f))
+        return pd.DataFrame({"host": f["host"].iloc[0], "shard": f["shard"].iloc[0], "run": run, "page": page})
+
     def extract(f: pd.DataFrame) -> pd.DataFrame:
-        cutted = [[(b[0], b[1:]) for b in x.split(_BREAK)] if x else [] for x in f["blocks"]]
-        return f[["page_id", "url"]].assign(text=_host_texts(cutted))
+        return f[["page_id", "url"]].assign(text=_host_texts(lists(f)))
+
+    def extract_share(f: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+        return f[["page_id", "url"]].assign(text=_host_texts(lists(f), common["run"].to_numpy(np.int64)))
 
-    parsed = dealt.mapInPandas(cut, "host string, shard long, page_id long, url string, blocks string")
-    return parsed.groupBy("host", "shard").applyInPandas(extract, "page_id long, url string, text string")
+    shape, text = "host string, shard long, page_id long, url string, blocks string", "page_id long, url string, text string"
+    small = dealt.where("shards = 1").drop("shards").mapInPandas(cut, shape).groupBy("host", "shard").applyInPandas(extract, text)
+    if not known:
+        return small
+    of_large = dealt.where("shards > 1").drop("shards")
+    hosts = materialize(of_large.mapInPandas(bare, "host string").distinct(), "hosts")
+    counted = of_large.join(hosts, "host", "left_semi").mapInPandas(cut, shape).groupBy("host", "shard").applyInPandas(
+        runs, "host string, shard long, run long, page long")
+    # an array gives at most MIN_PAGES pages of a run, so a run's set is bounded by the host's arrays
+    stands = counted.groupBy("host", "run").agg(F.collect_set(F.struct("page", "shard")).alias("s"))
+    stands = stands.where(F.size(F.array_distinct(F.col("s.page"))) >= MIN_PAGES)
+    common = stands.select("host", F.explode(F.array_distinct(F.col("s.shard"))).alias("shard"), "run")
+    large_texts = of_large.mapInPandas(cut, shape).groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInPandas(extract_share, text)
+    return small.unionAll(large_texts)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

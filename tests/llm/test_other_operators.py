@@ -155,6 +155,19 @@ def test_boilerplate_by_suffix_array(spark):
         assert r.text == f"{r.page_id} " + " ".join(f"w{r.page_id}x{j}" for j in range(30))
 
 
+def test_boilerplate_of_a_section_of_a_large_host(spark, monkeypatch):
+    """A text on four of 200 pages goes, whether the host is one array or fifty."""
+    unique = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    page = lambda i: f"<body><div>{unique(i)}</div>" + ("<div>Read more stories of the garden section each week</div>" if i % 50 == 0 else "") + "</body>"
+    copies = "<body><div>These words stand on copies of one page only here</div></body>"
+    rows = [(i, f"http://news.example/{i}", page(i)) for i in range(200)] + [(i, f"http://news.example/{i}", copies) for i in range(200, 220)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: unique(i) for i in range(200)} | {i: "These words stand on copies of one page only here" for i in range(200, 220)}
+    for size in (256, 4):
+        monkeypatch.setattr(htmltext, "SHARD", size)
+        assert {r.page_id: r.text for r in htmltext.main_text(df).collect()} == want
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(1)
     tokens, page = rng.integers(0, 4, 300), np.repeat(np.arange(6), 50)
