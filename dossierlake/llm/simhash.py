@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, materialize
+from .common import connected_components, discard, give_back, materialize, resident
 
 RADIUS = 2
 #: Four bands of 16 bits; two fingerprints at most two bits apart agree on at least two bands.
@@ -40,15 +40,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    resident("simhash")
     for frame in frames:
         fps = np.fromiter((fingerprint(t) for t in frame["text"]), dtype=np.uint64, count=len(frame))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps.view(np.int64)})
+        yield frame[["doc_id", "th"]].assign(fp=fps.view(np.int64))
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of each whole text; a null text counts as empty."""
+    """(doc_id, th, fp): the signed 64-bit fingerprint of each whole text, and a hash of the text that
+    tells rows of one id apart; a null text counts as empty."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_fingerprints, "doc_id long, fp long")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return each.mapInPandas(_fingerprints, "doc_id long, th long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -124,6 +128,7 @@ def _block_links(fp: np.ndarray, rep: np.ndarray, side: np.ndarray) -> tuple[np.
 
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by block; a block may run over the border of two frames."""
+    resident("simhash")
     held: list[pd.DataFrame] = []
     for frame in frames:
         frame = pd.concat([*held, frame], ignore_index=True) if held else frame
@@ -192,30 +197,50 @@ def link(fps: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """each (doc_id, th, fp), and groups (fp, root): fingerprints that links connect share a root. The
+    vertices are fingerprints, so neither a repeated nor a missing doc_id joins or parts anything."""
+    each = materialize(fingerprints(docs), "fps")
+    distinct = each.select("fp").distinct()
+    roots = connected_components(link(distinct.select("fp", F.col("fp").alias("rep"))))
+    groups = materialize(distinct.join(roots, distinct.fp == roots.id, "left").select("fp", F.coalesce("component", "fp").alias("root")), "groups")
+    return each, groups
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     ``component_id`` is the smallest doc_id reachable over links of at most two differing bits.
     Null text: as empty, fingerprint zero, linked like any other. Repeated rows: each gets a row,
-    all in one component. Null doc_id: its row is returned; the component is the smallest non-null
-    doc_id of its group, null if there is none. Further columns are ignored. An empty table gives no rows.
+    all in one component; rows that share a doc_id but not their text each stand with their own text.
+    Null doc_id: its row is returned; the component is the smallest non-null doc_id of its group, null
+    if there is none. Further columns are ignored. An empty table gives no rows.
     """
-    each = materialize(fingerprints(docs), "fps")
-    reps = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(link(reps.where("rep is not null")))
-    # a fingerprint only null ids carry has no vertex in the graph; it stays a group without an id
-    where = reps.join(roots, reps.rep == roots.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    each, groups = _grouped(docs)
+    least = each.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, "fp")
+    ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
+    where = groups.join(ids, "root").select("fp", "component_id")
     return each.join(where, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, one row each; rows without doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return (
-        docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        .unionByName(docs.where("doc_id is null"))
-        .select(*docs.columns)
-    )
+    """One document of each group of near copies, with all its columns: the one with the smallest doc_id,
+    of several with that id the one whose text has the least hash; a row without id only where no other
+    is in its group. Of repeated rows (equal id and text) one stays. A doc_id that stands on unrelated
+    texts keeps each of them. Null text: as empty. An empty table gives no rows.
+    """
+    each, groups = _grouped(docs)
+    of_fp = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    chosen = of_fp.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # a table of its own, at most a row for each group: Spark then knows its size
+    chosen = materialize(chosen.select("first.no_id", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.th"), "chosen")
+    discard(each, groups)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # own names, so no column of docs clashes
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    # keys without nulls, so that one exchange serves the join and the removal of repeated rows
+    key = {"no_id": F.col(doc_id).isNull(), "id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "th": F.xxhash64(text)}
+    kept = docs.toDF(*names).withColumns(key).join(chosen, list(key), "left_semi").dropDuplicates(list(key))
+    return kept.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
