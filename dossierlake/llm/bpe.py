@@ -9,8 +9,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import ship
+from .common import give_back, resident
 
 #: Distinct pieces whose ids one worker remembers; the half met longest ago is forgotten first.
 REMEMBERED = 250_000
@@ -222,13 +224,8 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(key: tuple, ranks) -> Encoder:
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks.value, key[1])
-    return _encoders[key]
+    return resident(("bpe", *key), lambda: Encoder(ranks.value, key[1]))
 
 
 def _shared(spark: SparkSession, path: str, pattern: str):
@@ -237,19 +234,20 @@ def _shared(spark: SparkSession, path: str, pattern: str):
     return (path, pattern), spark.sparkContext.broadcast(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """``keep`` (default doc_id) and ``ids``: the token ids of each whole text as a buffer of
-    little-endian unsigned 32-bit integers, without special tokens.
+    little-endian unsigned 32-bit integers, without special tokens. With ``decoded`` the same worker
+    decodes the ids again and adds the bytes as ``decoded``.
 
     Null text: as empty, an empty buffer. Repeated rows: each encoded. Very long texts: the texts of
     one Arrow batch are encoded one after the other and handed on in small frames; a piece of n bytes
-    takes O(n log n). An ``ids`` column in ``keep`` is refused. An empty table gives no rows.
+    takes O(n log n). A column in ``keep`` that is called ids, text or decoded is refused. An empty
+    table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
-    if "ids" in keep:
-        raise ValueError("a kept column is called ids")
-    if "text" in keep:
-        raise ValueError("text is not kept; join it back where needed")
+    made = ["ids", "decoded"] if decoded else ["ids"]
+    if {"ids", "text", "decoded"} & set(keep):
+        raise ValueError("ids, text and decoded are no columns to keep; join them back where needed")
     key, ranks = _shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,17 +255,20 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array(enc.encode_all([t or "" for t in part.column("text").to_pylist()]), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
-
-    from pyspark.sql.types import BinaryType, StructField, StructType
+                ids = enc.encode_all([t or "" for t in part.column("text").to_pylist()])
+                columns = [ids, map(enc.decode, ids)] if decoded else [ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.binary()) for x in columns)], names=[*keep, *made])
+        give_back()
 
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("ids", BinaryType())])
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(c, BinaryType()) for c in made])
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds ``decoded``: the bytes that the token ids stand for. Null ids give null."""
+    """Adds ``decoded``: the bytes that the token ids stand for. Null ids give null. A table that has a
+    column of that name is refused."""
+    if "decoded" in encoded.columns:
+        raise ValueError("a column is called decoded")
     key, ranks = _shared(encoded.sparkSession, path, pattern)
 
     @F.arrow_udf("binary")
@@ -280,7 +281,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: token count and the digests of ids and of the decoded bytes."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = encode(docs, path, pattern, decoded=True)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -1,9 +1,16 @@
 """Helpers shared by the training-data operators: shared scratch tables and graph components."""
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,36 +20,83 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, the context's
+    checkpoint folder; a temporary one of this machine only where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         held = sc._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="dossierlake-"))
             held = sc._jsc.sc().getCheckpointDir()
         base = held.get()
     return base.rstrip("/")
 
 
+#: This process's part of the shared folder, deleted when it ends.
+_OWN = uuid.uuid4().hex
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor costs only the tasks that read the table."""
+    executor costs only the tasks that read the table. What nobody discards goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dossierlake/{tag}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/dossierlake/{_OWN}"
+    path = f"{own}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if own not in _to_delete:
+        _to_delete.add(own)
+        atexit.register(_delete_quietly, spark, own)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+_to_delete: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the session may have ended before
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, make: Callable[[], Any] = lambda: None) -> Any:
+    """What a Python worker keeps from task to task: one structure, that of the operator it serves now.
+    Workers are reused, so a stage that asks for its own frees what the stage before has left."""
+    if key not in _resident:
+        _resident.clear()
+        give_back()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators would keep for this worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def lower_ascii(col):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import give_back, resident
 
 #: Components of a hypervector, and the seed of the random letter vectors.
 DIMENSION, SEED = 1024, 20240229
@@ -34,9 +35,9 @@ class Space:
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
-        self.places: dict[int, int] = {}
+        self.held = 0
         self.code = np.zeros(0x110000, np.int32)
-        self.vectors = np.zeros((0, dimension), np.int8)
+        self.vectors = np.zeros((256, dimension), np.int8)
         self.bound: dict[int, int] = {}
         self.table = np.zeros((1024, dimension), np.int8)
 
@@ -44,11 +45,13 @@ class Space:
         """Dense numbers of the code points in ``codes``, from 1 on; 0 is no letter yet seen."""
         out = self.code[codes]
         if not out.all():
-            for c in np.unique(codes[out == 0]).tolist():
-                self.places[c] = len(self.places) + 1
-                self.code[c] = self.places[c]
-                drawn = np.random.default_rng([SEED, c]).integers(0, 2, self.dimension, dtype=np.int8) * 2 - 1
-                self.vectors = np.concatenate([self.vectors, drawn[None].astype(np.int8)])
+            fresh = np.unique(codes[out == 0]).tolist()
+            drawn = [np.random.default_rng([SEED, c]).integers(0, 2, self.dimension, dtype=np.int8) * 2 - 1 for c in fresh]
+            while self.held + len(fresh) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            self.vectors[self.held : self.held + len(fresh)] = drawn
+            self.code[fresh] = np.arange(self.held + 1, self.held + len(fresh) + 1)
+            self.held += len(fresh)
             out = self.code[codes]
         return out
 
@@ -114,11 +117,8 @@ class Space:
         return out, known
 
 
-_spaces: dict[int, Space] = {}
-
-
 def _space(dimension: int) -> Space:
-    return _spaces.setdefault(dimension, Space(dimension))
+    return resident(("language", dimension), lambda: Space(dimension))
 
 
 def held_out(doc_id="doc_id"):
@@ -152,6 +152,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, dimension: i
                 sums[lang] = sums.get(lang, 0) + vectors[own].sum(axis=0, dtype=np.float64)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        give_back()
 
     rows = sample.repartition(_BUNDLERS, "doc_id").mapInPandas(run, "lang string, v array<double>").collect()
     total: dict[str, np.ndarray] = {}
@@ -171,10 +172,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     langs, profiles = model
     dimension = profiles.shape[1]
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        space = _space(dimension)
-        vectors, known = space.bundle(texts.tolist())
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        vectors, known = _space(dimension).bundle(texts.tolist())
         if not len(langs) or not len(vectors):
             return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": 0.0})
         cosines = vectors @ profiles.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -184,6 +183,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         names[~known] = UNKNOWN
         return pd.DataFrame({"lang": names, "score": np.where(known, score, 0.0)})
 
+    @F.pandas_udf("lang string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield judge(texts)
+        give_back()
+
     return predict(F.col(text))
 
 
@@ -203,7 +208,7 @@ def known_language(docs: DataFrame, **options) -> DataFrame:
     """The documents in which a language was recognised, all columns as they are. A text that has no
     letter is rejected; so is one whose score does not exceed 0, which resembles no profile at all."""
     p = identify(docs, train(docs, **options))
-    name = "__language"
+    name = "language" + "_" * max(map(len, docs.columns))  # longer than any column of docs
     return docs.withColumn(name, p).where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") > 0)).drop(name)
 
 

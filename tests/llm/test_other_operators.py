@@ -263,7 +263,8 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = [
         (10**6, None, "en", "s", None), (10**6 + 1, "12345 %%%", "en", "s", 9), (10**6 + 2, "the same text stands here and here it is again", "en", "s", 46),
-        (10**6 + 3, "the same text stands here and here it is again", "en", "s", 46),
+        (10**6 + 3, "the same text stands here and here it is again", "en", "s", 46), (10**6 + 5, "one id stands on this text", "en", "s", 25),
+        (10**6 + 5, "the very id is on quite another text here", "en", "s", 41),
     ]
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     more.append((10**6 + 4, f"before it {leak} after it", "es", "s", 100))
@@ -273,14 +274,15 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = common.materialize(stage(spark, now, SF), f"test-{name}")
         assert now.columns == corpus_pipeline.COLUMNS
-        kept.append({r.doc_id: r.text for r in now.collect()})
+        assert now.where(f"doc_id = {10**6 + 5}").count() == 2
+        kept.append({r.doc_id: r.text for r in now.where(f"doc_id <> {10**6 + 5}").collect()})
     by_language, by_line, by_copy, by_leak = kept
-    assert set(every.select("doc_id").toPandas()["doc_id"]) - set(by_language) == {10**6, 10**6 + 1}
+    assert set(every.select("doc_id").toPandas()["doc_id"]) - set(by_language) == {10**6, 10**6 + 1, 10**6 + 5}
     assert set(by_line) == set(by_language)
     again = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(by_line.items()), "doc_id long, text string")).collect()}
     assert set(by_copy) == {d for d, c in again.items() if d == c} and 10**6 + 3 not in by_copy and 10**6 + 2 in by_copy
     assert 10**6 + 4 in by_copy and 10**6 + 4 not in by_leak and set(by_leak) <= set(by_copy)
-    last = corpus_pipeline.encode_tokens(spark, now, SF).collect()
+    last = corpus_pipeline.encode_tokens(spark, now.where(f"doc_id <> {10**6 + 5}"), SF).collect()
     assert {r.doc_id: r.decoded_sha256 for r in last} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in by_leak.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
 
@@ -293,4 +295,4 @@ def test_pipeline_on_empty_documents(spark):
 
 
 def test_missing_lines_make_no_bitmap(spark):
-    assert linededup.drop_bitmaps(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0
+    assert linededup.keep_bitmaps(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0

@@ -4,10 +4,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
 import xxhash
+from oracle import compare
 
 import public_tokenizers
 from dossierlake.llm import bpe, decontaminate, langid, linededup, secretscan, simhash
@@ -174,10 +176,24 @@ def test_simhash_edges(odd, empty):
     by_id = {r["doc_id"]: r["component_id"] for r in got}
     assert by_id[1] == by_id[2] == by_id[7] == 1 and by_id[None] == 3
     kept = rows(simhash.keep_one(odd))
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, [1, 3, 4, 5, 6, 8, None]))
+    # the row without id goes, since another of its group has one
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4, 5, 6, 8] and set(kept[0]) == set(odd.columns)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_repeated_and_missing_ids(spark):
+    """Rows of one id keep their own texts, whatever else shares the id; null ids are kept as groups of their own."""
+    far = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "und der die das ein eine einer", "los las una uno por para con"]
+    data = [(5, far[0]), (5, far[1]), (6, far[2]), (7, far[1]), (5, far[1]), (None, far[3]), (None, far[3]), (None, far[0]), (9, None), (9, "")]
+    df = spark.createDataFrame([(*d, i) for i, d in enumerate(data)], "doc_id long, text string, no_id int")
+    got = {(r.doc_id, r.text) for r in simhash.keep_one(df).collect()}
+    nothing = {x for x in got if x[0] == 9}
+    assert got - nothing == {(5, far[0]), (5, far[1]), (6, far[2]), (None, far[3])} and len(nothing) == 1
+    assert simhash.keep_one(df).count() == 5
+    every = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df).collect() if r.component_id is not None)
+    assert every == [("5", 5)] * 3 + [("6", 6), ("7", 5), ("9", 9), ("9", 9), ("None", 5)]
+
+
 # ---- line dedup
 
 def brute_lines(docs, least=10):
@@ -207,9 +223,32 @@ def test_line_dedup_long_bitmaps_and_first(spark):
     assert first[0].text.startswith("shared\n") and first[0].n_dropped == 166 and first[1].n_dropped == 167
 
 
-def test_line_dedup_edges(odd, empty):
+def test_line_dedup_of_repeated_and_missing_ids(spark, tmp_path):
+    """The engine and its SQL mean the same by a document: one id with one text."""
+    data = [(i, "seen in eight\nown") for i in range(8)] + [(0, "seen in eight\nown")] * 3 + [(0, "seen in eight\nother"), (None, "seen in eight\nx")]
+    data += [(None, "nine\ny")] * 9 + [(100 + i, f"nine\n{i}") for i in range(8)] + [(None, None), (None, "")]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, con, "op10", linededup.query, linededup.ORACLE, str(tmp_path)) is None
+    kept = [r.text for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert not any("eight" in t for t in kept) and sum("nine" in t for t in kept) == 17
+
+
+def test_line_dedup_streams_over_one_range_exchange(spark):
+    occ = linededup.materialize(linededup.occurrences(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), 1), "lines")
+    plan = linededup.frequent_keys(occ, 10)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_count") :]
+    assert below.count("Exchange") == below.count("rangepartitioning") == 1 and below.count("Sort [") == 1
+
+
+def test_line_dedup_edges(spark, odd, empty):
     got = rows(linededup.dedup_lines(odd))
     assert len(got) == len(ODD) and all(r["n_dropped"] == 0 for r in got)
+    clash = spark.createDataFrame([(i, "same", i, "w") for i in range(10)], "doc_id long, text string, n_dropped int, words string")
+    out = linededup.dedup_lines(clash)
+    assert out.columns == ["doc_id", "text", "n_dropped", "words", "n_lines"]
+    assert {(r.text, r.n_dropped, r.words, r.n_lines) for r in out.collect()} == {("", 1, "w", 1)}
     assert linededup.dedup_lines(empty).count() == 0
 
 
