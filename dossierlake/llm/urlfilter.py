@@ -1,6 +1,8 @@
 """URL filter: fixed host and path rules, then association rules mined with FP-growth from labels."""
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +11,16 @@ from .common import lower_ascii, materialize
 
 #: (verdict, host, path prefix). A rule fits its host and all subdomains; the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Least share of the labelled pages that a combination is on, least share of those that are bad, how
-#: much likelier than by chance, and tokens of a combination at most.
-SUPPORT, CONFIDENCE, LIFT, MAX_TOKENS = 0.01, 0.8, 1.2, 4
+#: Labelled pages that a combination must be on (a count, so that a rule needs the same evidence in a table of
+#: any size), least share of those that are bad, how much likelier than by chance, and tokens at most.
+LEAST, CONFIDENCE, LIFT, MAX_TOKENS = 10, 0.8, 1.2, 4
 #: Labelled pages that the rules are mined from, chosen by hash.
 SAMPLE = 100_000
+#: Tokens that are mined together. A url with more is mined in windows of so many, each half over the next,
+#: since what FP-growth finds in n tokens that go together is 2^n combinations.
+TOGETHER = 10
 #: Mined rules up to which the inverted index is sent to all tasks; beyond, it is joined by shuffle.
 MAX_BROADCAST_RULES = 50_000
-_BAD = "\x00bad"
 
 
 def host_of(url):
@@ -48,40 +52,59 @@ def fixed_rule(host, path, rules=RULES):
     return fitting
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
-    """(rule_id, tokens): token combinations of ``labelled(url, bad)`` that bad pages have.
+def _windows(tokens):
+    n, step = F.size(tokens), TOGETHER // 2
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - TOGETHER + step), F.lit(step))
+    return F.transform(starts, lambda at: F.slice(tokens, at, F.lit(TOGETHER)))
+
 
-    FP-growth mines a sample of at most ``sample`` labelled pages, those of least hash. A combination
-    stays if enough pages have it, enough of those are bad, and more than by chance; one that holds a
-    smaller rule as a part is dropped, since the smaller one matches whatever it does.
+def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
+    """(rule_id, tokens, token, n, n_bad): token combinations of ``labelled(url, bad)`` that bad pages have.
+
+    FP-growth mines the bad ones of at most ``sample`` labelled pages, those of least hash, for
+    combinations of the tokens that enough bad pages have. Each is then counted over all pages of the
+    sample. One stays if at least ``least`` pages have it, enough of those are bad, and more than by
+    chance; one that holds a smaller rule as a part is dropped, since the smaller one matches whatever it
+    does. ``token`` is the one that fewest pages have. Null urls and labels are left out.
     """
     spark = labelled.sparkSession
-    items = labelled.where("url is not null and bad is not null").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t"), "bad", "url")
-    items = items.orderBy(F.xxhash64("url", "bad"), "url").limit(sample)
-    items = items.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(_BAD)))).otherwise(F.col("t")).alias("items")).where(F.size("items") > 0)
-    items = materialize(items, "urls")
-    schema = "rule_id long, tokens array<string>"
-    if not items.where(F.array_contains("items", _BAD)).limit(1).count():
+    items = labelled.where("url is not null and bad is not null").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "bad", "url")
+    items = items.orderBy(F.xxhash64("url", "bad"), "url").limit(sample).select(F.monotonically_increasing_id().alias("key"), "tokens", "bad")
+    items = materialize(items.where(F.size("tokens") > 0), "urls")
+    schema = "rule_id long, tokens array<string>, token string, n long, n_bad long"
+    all_pages, all_bad = items.agg(F.count("*"), F.count_if("bad")).first()
+    needed = math.ceil(least * confidence)
+    if all_bad < needed:
+        return spark.createDataFrame([], schema)
+    each = items.select("key", "bad", F.posexplode("tokens").alias("at", "token"))
+    # no combination is on more bad pages than each of its tokens
+    counts = each.groupBy("token").agg(F.count("*").alias("on"), F.count_if("bad").alias("b")).where((F.col("b") >= needed) & (F.col("on") >= least))
+    counts = materialize(counts.select("token", "on"), "tokens")
+    frequent = each.where("bad").join(counts, "token").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("t"))
+    windows = materialize(frequent.select(F.explode(_windows(F.col("t"))).alias("items")), "windows")
+    n = windows.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    bad = model.associationRules.where(
-        (F.element_at("consequent", 1) == _BAD) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= LIFT)
-    ).select(F.array_sort("antecedent").alias("tokens"))
-    bad = materialize(bad, "rules")
-    smaller = bad.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("t"))
-    larger = bad.select("tokens", F.explode("tokens").alias("t")).join(smaller, "t")
+    found = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / n).fit(windows).freqItemsets
+    found = found.where(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("tokens")).select(F.xxhash64("tokens").alias("rule_id"), "tokens")
+    rarest = found.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    found = materialize(rarest.groupBy("rule_id", "tokens").agg(F.min_by("token", F.struct("on", "token")).alias("token")), "found")
+    counted = matches(items, found).join(items.select("key", "bad"), "key").groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    good = (F.col("n") >= least) & (F.col("n_bad") >= confidence * F.col("n")) & (F.col("n_bad") * all_pages >= LIFT * all_bad * F.col("n"))
+    rules = materialize(found.join(counted.where(good), "rule_id"), "rules")
+    smaller = rules.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("t"))
+    larger = rules.select("tokens", F.explode("tokens").alias("t")).join(smaller, "t")
     implied = larger.where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct()
-    needed = bad.join(implied, "tokens", "left_anti")
-    return needed.select(F.xxhash64("tokens").alias("rule_id"), "tokens")
+    return rules.join(implied, "tokens", "left_anti").select("rule_id", "tokens", "token", "n", "n_bad")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, rule_id) of the urls(key, tokens) that hold all tokens of a rule.
 
-    The inverted index lists rules under their least frequent token only, here their longest one, so a
+    The inverted index lists each of ``rules(rule_id, tokens, token)`` under its rarest token only, so a
     url meets few rules; the other tokens are then looked up in its own list.
     """
-    index = rules.select("rule_id", F.col("tokens").alias("need"), F.array_sort("tokens", lambda a, b: F.length(b) - F.length(a))[0].alias("token"))
+    index = rules.select("rule_id", F.col("tokens").alias("need"), "token")
     if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
         index = F.broadcast(index)
     held = urls.select("key", "tokens", F.explode("tokens").alias("token"))
