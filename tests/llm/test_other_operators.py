@@ -1,6 +1,7 @@
 """Brute-force comparisons and edge cases of the operators on embeddings, pages and conversations, and of the pipeline."""
 import hashlib
 import html as entities
+import itertools
 import math
 import re
 
@@ -25,7 +26,9 @@ def test_oracles(spark, name):
 
 # ---- components
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("small", (0, 10**6))
+def test_components_of_long_chains_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 640)]
@@ -257,6 +260,53 @@ def test_mined_rules(spark):
     assert urlfilter.judge(df.limit(0), lf).count() == 0 and {r.verdict for r in urlfilter.judge(df, lf.limit(0)).collect()} == {"allow"}
 
 
+def brute_rules(labelled):
+    """All combinations of up to MAX_TOKENS tokens of the urls, counted one by one; the smallest ones that pass."""
+    def tokens(url):
+        host, path = brute_rule(url)[:2]
+        labels = host.split(".")
+        return {"h:" + ".".join(labels[i:]) for i in range(len(labels))} | {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+
+    pages = [(tokens(u), b) for u, b in labelled if u is not None and b is not None]
+    share = sum(b for _, b in pages) / len(pages)
+    counts = {}
+    for t, b in pages:
+        for k in range(1, urlfilter.MAX_TOKENS + 1):
+            for c in itertools.combinations(sorted(t), k):
+                n = counts.setdefault(c, [0, 0])
+                n[0] += 1
+                n[1] += b
+    good = [set(c) for c, (n, bad) in counts.items() if n >= urlfilter.LEAST and bad >= urlfilter.CONFIDENCE * n and bad / n >= urlfilter.LIFT * share]
+    return {tuple(sorted(c)) for c in good if not any(d < c for d in good)}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        host = rng.choice(["a.net", "b.net", "shop.a.net"])
+        path = [x for x in ("x", "y", "z", "w", f"n{i}") if rng.random() < 0.5]
+        bad = ("x" in path and "y" in path and host != "b.net") or rng.random() < 0.05
+        rows.append((f"http://{host}/{'/'.join(path)}", bool(bad)))
+    rows += [(None, True), ("http://a.net/x", None), ("nothing", True)]
+    got = urlfilter.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert {tuple(r.tokens) for r in got} == brute_rules(rows) and got and all(r.n >= 10 and r.n_bad >= 0.8 * r.n for r in got)
+
+
+@pytest.mark.parametrize("segments", (18, 60))
+def test_mining_long_urls(spark, segments):
+    """Bad urls share all their path segments: as many tokens that go together as there are."""
+    rows = [(f"http://long.example/{'/'.join(f's{chr(97 + k // 26)}{chr(97 + k % 26)}' for k in range(segments))}/{i}", True) for i in range(20)]
+    rows += [(f"http://long.example/t/{i}", False) for i in range(20)]
+    rules = urlfilter.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert len(rules) == segments and all(len(r.tokens) == 1 and r.n == r.n_bad == 20 for r in rules)
+
+
+def test_few_labels_make_no_rule(spark):
+    rows = [(f"http://few.example/{'/'.join('abcdefghijklmnopqr')}/{i}", i == 0) for i in range(20)]
+    assert urlfilter.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+
+
 # ---- pipeline
 
 def test_pipeline_against_its_stages(spark, tmp_path):

@@ -289,11 +289,33 @@ def test_substituted_and_shifted_passages(spark):
     assert want <= got
     shifted = " ".join(item[:14] + ["new", "words"] + item[14:])
     df = spark.createDataFrame([(1, shifted), (2, " ".join(item[:9])), (3, None), (4, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too few words"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "not in them"), (4, "")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()] == [(1, 1)]
     assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [2, 3, 4]
 
 
+def test_short_and_unspaced_items(spark):
+    """Five words may lose any one of them, fewer must stand whole; unspaced scripts count by character."""
+    five = "alpha beta gamma delta epsilon".split()
+    texts = [(0, "say alpha beta gamma delta epsilon now")]
+    for at in range(5):
+        w = list(five)
+        w[at] = "other"
+        texts += [(1 + at, " ".join(w)), (10 + at, "before it " + " ".join(w) + " after it")]
+    texts += [(20, "alpha beta gamma other other"), (21, "beta alpha gamma epsilon delta"), (30, "the answer is forty two here"), (31, "forty and two"), (40, "他说今天天气很好我们去公园散步吧"), (41, "他说今天天汽很好我们去公元散步吧"), (42, "今天我们"), (50, "word")]
+    bench = spark.createDataFrame([(1, " ".join(five)), (2, "Forty two!"), (3, "今天天气很好我们去公园散步"), (4, "wordy")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {(d, 1) for d in [*range(6), *range(10, 15)]} | {(30, 2), (40, 3), (41, 3)}
+
+
+def test_a_seed_of_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_HITS", 7)
+    items = [(i, f"which of the following is a{i} b{i} c{i} d{i}") for i in range(40)]
+    index = decontaminate.SeedIndex(items)
+    found = {(t, index.item_ids[k]) for t, k, *_ in index.find([f"say {items[3][1]} or {items[7][1]}", "which of the following is right for us all", None])}
+    assert found == {(0, 3), (0, 7)}
+
+
 def test_decontamination_edges(spark, odd, empty):
     bench = spark.createDataFrame([(1, "x x x x x x"), (1, "x x x x x x")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.leaks(odd, bench).collect()} == {5}
