@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import materialize
+from .common import materialize, resident
 
 #: Words that a repeated run must have, and the distinct pages it must stand on.
 MIN_RUN, MIN_PAGES = 6, 3
-#: Pages of one suffix array. A host with more is dealt out by hash into arrays of about so many, and
-#: the pages of a run are counted over all arrays of the host.
-SHARD = 256
+#: Pages of one suffix array, and bytes of html. A host with more is dealt out by hash into arrays of about so
+#: many, and the pages of a run are counted over all arrays of the host.
+SHARD, SHARD_BYTES = 256, 8 << 20
+#: Arrays that one task takes, about, whatever the size of the input.
+ARRAYS_A_TASK = 4
 #: Hosts above SHARD pages that are looked up in memory; with more of them, a join does it.
 MAX_LARGE_HOSTS = 10_000
 
@@ -257,18 +259,24 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
     """
     ship(pages.sparkSession)
     rows = pages.select("page_id", F.col(url).alias("url"), "html", _host(F.col(url)).alias("host"))
-    large = pages.select(_host(F.col(url)).alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    sizes = pages.select(_host(F.col(url)).alias("host"), F.octet_length("html").alias("b")).groupBy("host").agg(
+        F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum("b") / SHARD_BYTES), F.lit(1)).cast("int").alias("n"))
+    sizes = materialize(sizes, "hosts")
+    arrays = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-arrays // ARRAYS_A_TASK))
+    large = sizes.where("n > 1")
     some = large.limit(MAX_LARGE_HOSTS + 1)
     known = some.collect()
     if len(known) <= MAX_LARGE_HOSTS:
-        held = pages.sparkSession.createDataFrame([(r.host, r.n) for r in known], "host string, n long")
+        held = pages.sparkSession.createDataFrame([(r.host, r.n) for r in known], "host string, n int")
         sized = rows.join(F.broadcast(held), "host", "left")  # at most MAX_LARGE_HOSTS rows
     else:
         sized = rows.join(large, "host", "left")
-    shards = F.coalesce(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
+    shards = F.coalesce("n", F.lit(1))
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), shards)).withColumn("shards", shards).select("host", "shard", "shards", "page_id", "url", "html")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resident("html")
         for f in frames:
             for at in range(0, len(f), 256):
                 part = f.iloc[at : at + 256]
@@ -295,18 +303,19 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
         return f[["page_id", "url"]].assign(text=_host_texts(lists(f), common["run"].to_numpy(np.int64)))
 
     shape, text = "host string, shard long, page_id long, url string, blocks string", "page_id long, url string, text string"
-    small = dealt.where("shards = 1").drop("shards").mapInPandas(cut, shape).groupBy("host", "shard").applyInPandas(extract, text)
+    by_array = lambda rows: rows.repartition(parts, "host", "shard")  # noqa: E731  as many partitions as the arrays ask for
+    small = by_array(dealt.where("shards = 1").drop("shards").mapInPandas(cut, shape)).groupBy("host", "shard").applyInPandas(extract, text)
     if not known:
         return small
     of_large = dealt.where("shards > 1").drop("shards")
     hosts = materialize(of_large.mapInPandas(bare, "host string").distinct(), "hosts")
-    counted = of_large.join(hosts, "host", "left_semi").mapInPandas(cut, shape).groupBy("host", "shard").applyInPandas(
+    counted = by_array(of_large.join(hosts, "host", "left_semi").mapInPandas(cut, shape)).groupBy("host", "shard").applyInPandas(
         runs, "host string, shard long, run long, page long")
     # an array gives at most MIN_PAGES pages of a run, so a run's set is bounded by the host's arrays
     stands = counted.groupBy("host", "run").agg(F.collect_set(F.struct("page", "shard")).alias("s"))
     stands = stands.where(F.size(F.array_distinct(F.col("s.page"))) >= MIN_PAGES)
     common = stands.select("host", F.explode(F.array_distinct(F.col("s.shard"))).alias("shard"), "run")
-    large_texts = of_large.mapInPandas(cut, shape).groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInPandas(extract_share, text)
+    large_texts = by_array(of_large.mapInPandas(cut, shape)).groupBy("host", "shard").cogroup(by_array(common).groupBy("host", "shard")).applyInPandas(extract_share, text)
     return small.unionAll(large_texts)
 
 
