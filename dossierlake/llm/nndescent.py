@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, resident
 
 log = logging.getLogger(__name__)
 
@@ -26,8 +26,11 @@ SLACK = 0.03
 #: Vectors that the audit takes at a time, those with a link that it must have seen, the recall it asks
 #: for, and how often the lists may be doubled before all is compared in blocks.
 AUDITED, ENOUGH, RECALL, DOUBLINGS = 2048, 200, 0.97, 2
-#: Vectors of one block where the lists of a saturated group are completed.
-BLOCK = 2048
+#: Where a group is compared whole: bytes of the vectors on one side of a block at most, the least vectors of a
+#: side, and the sides that a group is cut into if that leaves them so large.
+BLOCK_BYTES, LEAST_BLOCK, SIDES = 16 << 20, 64, 16
+#: Tiles of a block that are multiplied at a time.
+TILE = 1024, 4096
 
 _EDGE = "u long, v long, s float, new boolean"
 
@@ -216,10 +219,17 @@ def complete_groups(held: DataFrame, groups: DataFrame, threshold: float) -> Dat
 
 
 def _in_blocks(held: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(u, links, root): groups are compared in blocks, so a large one is dealt out as pairs of blocks;
-    only counts leave a block, and for each vector the least one that it is connected with there."""
+    """(u, links, root): groups are compared in blocks, so that each is dealt out as pairs of sides; only
+    counts leave a block, and for each vector the least one that it is connected with there.
+
+    Each vector is copied once for each side of its group: SIDES times, and beyond what BLOCK_BYTES lets
+    a side hold, once for each BLOCK_BYTES of the group.
+    """
     spark = held.sparkSession
-    sizes = materialize(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "sizes")
+    widest = held.agg(F.max(F.octet_length("e"))).first()[0] or 8
+    largest = max(LEAST_BLOCK, BLOCK_BYTES // widest)
+    side = F.least(F.greatest(F.ceil(F.count("*") / SIDES), F.lit(LEAST_BLOCK)), F.lit(largest))
+    sizes = materialize(groups.groupBy("component").agg(F.ceil(F.count("*") / side).cast("int").alias("chunks")), "sizes")
     rows = groups.join(sizes, "component").join(held.select("pid", "kind", "n", "e"), "pid")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("pid"), "chunks").cast("int")).select(
         "component", "pid", "n", "e", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
@@ -227,6 +237,7 @@ def _in_blocks(held: DataFrame, groups: DataFrame, threshold: float) -> DataFram
     rows = rows.select("component", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "c", "pid", "n", "e")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resident("vectors")
         tail = None
         for f in frames:
             f = pd.concat([tail, f], ignore_index=True) if tail is not None else f
@@ -253,19 +264,21 @@ def _count(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     left = np.arange(len(g)) if same else np.flatnonzero(c == g["ci"].iloc[0])
     right = left if same else np.flatnonzero(c == g["cj"].iloc[0])
     links, root = np.zeros(len(g), np.int64), np.arange(len(g))
-    for at in range(0, len(left), 512):
-        some = left[at : at + 512]
-        hit = e[some] @ e[right].T >= threshold
-        if same:
-            hit[np.arange(len(some)), np.arange(at, at + len(some))] = False
-        links[some] += hit @ n[right]
-        if not same:
-            links[right] += n[some] @ hit
-        for i in np.flatnonzero(hit.any(axis=1)):
-            ends = np.append(root[right[hit[i]]], root[some[i]])
-            least = ends.min()
-            if (ends != least).any():
-                root[np.isin(root, ends)] = least
+    for at in range(0, len(left), TILE[0]):
+        some = left[at : at + TILE[0]]
+        for to in range(0, len(right), TILE[1]):
+            other = right[to : to + TILE[1]]
+            hit = e[some] @ e[other].T >= threshold
+            if same:
+                hit &= some[:, None] != other[None, :]
+            links[some] += hit @ n[other]
+            if not same:
+                links[other] += n[some] @ hit
+            for i in np.flatnonzero(hit.any(axis=1)):
+                ends = np.append(root[other[hit[i]]], root[some[i]])
+                least = ends.min()
+                if (ends != least).any():
+                    root[np.isin(root, ends)] = least
     return pd.DataFrame({"u": pid, "links": links, "root": pid[root]})
 
 
@@ -333,7 +346,8 @@ def _true_links(held: DataFrame, chosen: pd.DataFrame, threshold: float) -> np.n
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, label)``.
+    """(vec_id, n_links, component_id, kept, recall) for every row of ``vectors(vec_id, embedding, label)``;
+    recall is the audited one of the result, 1 where all was compared.
 
     Vectors link when their labels are equal and not null and their cosine is at least ``threshold``.
     Null, zero or non-finite vectors, and rows without vec_id, link with nothing: n_links 0, their own
@@ -369,13 +383,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         listed = both.join(held.select(F.col("pid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("m"))
         found = listed.join(completed, listed.a == completed.u, "left").select(F.col("a").alias("u"), F.coalesce("links", "m").alias("links"))
         found = materialize(found, "found")
+        discard(links, groups)
         recall = _audit(held, found, completed, threshold)
         log.info("lists of %d: recall %.3f", k, recall)
         if recall >= RECALL:
             break
         if doubling == DOUBLINGS:
-            found, components = exact_links(held, threshold)
+            discard(found, components)
+            (found, components), recall = exact_links(held, threshold), 1.0
             break
+        discard(found, components, completed)
         k *= 2
         # a longer list has room again: every entry counts as new once more
         further = first_lists(held, k, (doubling + 1) * ORDERS)
@@ -391,7 +408,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(counted, "vec_id", "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"), F.lit(float(recall)).alias("recall"),
     )
 
 

@@ -95,7 +95,8 @@ def test_links_equal_brute_force(spark):
 
 
 def test_blocks_of_a_dense_group(spark, monkeypatch):
-    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    monkeypatch.setattr(nndescent, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(nndescent, "TILE", (5, 7))
     rng = np.random.default_rng(8)
     e = rng.standard_normal((90, 8)) * 0.12 + 1
     df = spark.createDataFrame([(i, x.tolist(), 5) for i, x in enumerate(e)], "vec_id long, embedding array<double>, label int")
@@ -106,7 +107,7 @@ def test_blocks_of_a_dense_group(spark, monkeypatch):
 
 def test_a_dense_group_does_not_hide_lost_links(spark, monkeypatch):
     """Short orders and one round lose links of ordinary pairs, which a dense group outweighs in links."""
-    for name, value in (("ORDERS", 1), ("AHEAD", 1), ("ROUNDS", 1), ("DOUBLINGS", 0), ("BLOCK", 64)):
+    for name, value in (("ORDERS", 1), ("AHEAD", 1), ("ROUNDS", 1), ("DOUBLINGS", 0), ("LEAST_BLOCK", 32)):
         monkeypatch.setattr(nndescent, name, value)
     vectors = [(v, [float(np.float32(x)) for x in e], l) for v, e, l in planted(9)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
@@ -114,6 +115,20 @@ def test_a_dense_group_does_not_hide_lost_links(spark, monkeypatch):
     assert got == brute_links(vectors)
 
 
+def test_lists_are_doubled_until_the_audit_holds(spark, monkeypatch):
+    """Lists of one entry miss most of what 32 vectors have; one doubling, then another, bring it."""
+    monkeypatch.setattr(nndescent, "ROUNDS", 2)
+    asked = []
+    first = nndescent.first_lists
+    monkeypatch.setattr(nndescent, "first_lists", lambda held, k, at=0: asked.append(k) or first(held, k, at))
+    vectors = [(v, [float(np.float32(x)) for x in e], l) for v, e, l in planted(11)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    out = nndescent.near_duplicates(df, neighbours=1).collect()
+    want = brute_links(vectors)
+    true, found = sum(n for n, _ in want.values()), sum(r.n_links for r in out)
+    assert asked[:2] == [1, 2] and out[0].recall >= nndescent.RECALL and found / true >= 0.95 and all(r.n_links <= want[r.vec_id][0] for r in out)
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (5, [None, 1.0], 1), (6, [1.0, 0.0], None), (7, [1.0, 0.0], 1), (8, [2.0, 0.0], 1), (9, [1.0, 0.0], 2),
@@ -171,6 +186,44 @@ def test_boilerplate_of_a_section_of_a_large_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in htmltext.main_text(df).collect()} == want
 
 
+def brute_boilerplate(pages):
+    """pages: {id: list of blocks}. Words within a run of MIN_RUN that MIN_PAGES different pages hold go."""
+    runs = {}
+    for blocks in pages.values():
+        w = " ".join(blocks).split(" ")
+        for i in range(len(w) - htmltext.MIN_RUN + 1):
+            runs.setdefault(tuple(w[i : i + htmltext.MIN_RUN]), set()).add(tuple(blocks))
+    out = {}
+    for p, blocks in pages.items():
+        w = " ".join(blocks).split(" ")
+        gone = {i + k for i in range(len(w) - htmltext.MIN_RUN + 1) if len(runs[tuple(w[i : i + htmltext.MIN_RUN])]) >= htmltext.MIN_PAGES for k in range(htmltext.MIN_RUN)}
+        out[p] = " ".join(x for i, x in enumerate(w) if i not in gone) if len(w) - len(gone) >= 0.1 * len(w) else " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("n", (200, 3000))
+def test_pages_without_article_equal_brute_force(spark, n):
+    """The same boilerplate on the same pages goes, however many other pages the host has. Runs are short and
+    long, stand on two, three or many pages, within and across blocks."""
+    rng = np.random.default_rng(12)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(length)) for k, length in enumerate((5, 6, 7, 9, 14, 40, 120))]
+    pages = {}
+    for i in range(n):
+        blocks = [" ".join(f"w{i}x{j}" for j in range(30))]
+        if i < 200:
+            for k in rng.choice(len(phrases), rng.integers(0, 4), replace=False):
+                blocks.insert(int(rng.integers(0, len(blocks) + 1)), phrases[k] if i % 3 else phrases[k].replace("x3", f"x3u{i % 6}"))
+        if i in (10, 20, 30, 190):
+            blocks += ["this section only", "stands on four pages of all"]
+        if i in (40, 50):
+            blocks += ["this sentence stands on two pages and no more"]
+        pages[i] = blocks
+    rows = [(i, f"http://plain.example/{i}", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>") for i, blocks in pages.items()]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_boilerplate(pages)
+    assert got == want and "four" not in got[10] and "two pages" in got[40]
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(1)
     tokens, page = rng.integers(0, 4, 300), np.repeat(np.arange(6), 50)
