@@ -413,3 +413,25 @@ def test_secrets_within_long_paths(spark):
     plain = [(1000 + i, "see " + a + "and/more/ordinary/parts/of/the/path now") for i, a in enumerate(around)]
     got = {r.doc_id: len(r.extra) for r in secretscan.scan(spark.createDataFrame(rows + plain, "doc_id long, text string"), model).collect()}
     assert sum(got[i] for i, _ in rows) >= 0.98 * len(rows) and not any(got[i] for i, _ in plain)
+
+
+def test_model_on_held_out_strings(spark):
+    """Recall over random strings of five forms and false positives over ordinary names, none of which the models saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secretscan.train(docs)
+    seen = {r.s for r in secretscan.samples(docs).collect()}
+    rng = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = {"letters and digits": lower + upper + digits, "base 64": lower + upper + digits + "+/", "upper hexadecimal": digits + "ABCDEF", "upper and digits": upper + digits, "lower and digits": lower + digits}
+    secrets = [(k, name, "".join(rng.choice(pool) for _ in range(rng.randint(24, 48)))) for k, (name, pool) in enumerate(forms.items()) for _ in range(300)]
+    words = sorted({w for r in docs.where("text is not null").orderBy("doc_id").limit(600).collect() for w in re.findall("[A-Za-z]{3,12}", r.text)} - seen)
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    makers = [lambda: "_".join(pick(4)).lower(), lambda: "-".join(pick(4)).lower(), lambda: "/".join(pick(4)).lower(), lambda: "".join(w.capitalize() for w in pick(4)),
+              lambda: ".".join(pick(3)).lower() + f".v{rng.randint(1, 99)}", lambda: "_".join(pick(4)).upper(), lambda: f"{'-'.join(pick(3)).lower()}-20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}"]
+    names = [x for x in (rng.choice(makers)() for _ in range(3000)) if len(x) >= secretscan.LEAST and x not in seen]
+    every = [(i, f"see {s} here") for i, (*_, s) in enumerate(secrets)] + [(10_000 + i, f"see {s} here") for i, s in enumerate(names)]
+    found = {r.doc_id for r in secretscan.scan(spark.createDataFrame(every, "doc_id long, text string"), model).collect() if r.extra or r.base}
+    recall = {name: sum(i in found for i, (_, n, _) in enumerate(secrets) if n == name) / 300 for name in forms}
+    wrong = sum(10_000 + i in found for i in range(len(names))) / len(names)
+    print(recall, wrong, len(names))
+    assert min(recall.values()) >= 0.97 and wrong <= 0.005 and len(names) > 2000
