@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, discard, give_back, materialize, resident
+from .common import connected_components, give_back, materialize, resident
 
 RADIUS = 2
 #: Four bands of 16 bits; two fingerprints at most two bits apart agree on at least two bands.
@@ -203,8 +203,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = materialize(fingerprints(docs), "fps")
     distinct = each.select("fp").distinct()
     roots = connected_components(link(distinct.select("fp", F.col("fp").alias("rep"))))
-    groups = materialize(distinct.join(roots, distinct.fp == roots.id, "left").select("fp", F.coalesce("component", "fp").alias("root")), "groups")
-    return each, groups
+    return each, distinct.join(roots, distinct.fp == roots.id, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -232,9 +231,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     each, groups = _grouped(docs)
     of_fp = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
     chosen = of_fp.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    # a table of its own, at most a row for each group: Spark then knows its size
-    chosen = materialize(chosen.select("first.no_id", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.th"), "chosen")
-    discard(each, groups)
+    chosen = chosen.select("first.no_id", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.th")
     names = [f"c{i}" for i in range(len(docs.columns))]  # own names, so no column of docs clashes
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     # keys without nulls, so that one exchange serves the join and the removal of repeated rows
