@@ -6,14 +6,17 @@ answers all queries in one job: terms of the queries select postings, nothing pa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, same_text_key, tokens
 from ..session import ship
+from ..sources.scratch import materialize
 
 #: Queries that are compared with every record at a time.
 QUERY_BLOCK = 5_000
@@ -124,40 +127,69 @@ def _top(scored: DataFrame, limit: int | None, by: tuple = ("query_id",)) -> Dat
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def _counts(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (record_id, len, term, tf) of the query terms only, with each record's length: one scan."""
-    posts = records.select("record_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
-    return posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("record_id", "len", "term").agg(F.count("*").alias("tf"))
+#: Folders of a stored postings table; a query's terms are looked up in their own only.
+TERM_BUCKETS = 64
 
 
-def _squares(toks) -> Column:
-    """Sum of the squared counts of an array's distinct tokens, in one pass over the sorted array."""
-    start = F.expr("named_struct('t', '', 'run', 0L, 'sum', 0L)")
+@dataclass(frozen=True)
+class Postings:
+    """What ranking reads of a corpus, tokenized once: postings (record_id, term, tf, tf_text, bucket), tf over
+    text and bid id, tf_text over the text alone; lengths (record_id, len, norm), the tokens of both and the
+    norm of the text's counts; n, the number of records. Records without a token are only in n."""
 
-    def step(s, t):
-        same = s["t"] == t
-        return F.named_struct(
-            F.lit("t"), t, F.lit("run"), F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("long")),
-            F.lit("sum"), s["sum"] + F.when(same, 2 * s["run"] + 1).otherwise(F.lit(1).cast("long")),
+    postings: DataFrame
+    lengths: DataFrame
+    n: DataFrame
+
+    @staticmethod
+    def of(records: DataFrame) -> Postings:
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        both = F.concat(
+            F.transform(tokens("text"), lambda t: F.struct(t.alias("term"), one.alias("in_text"))),
+            F.transform(tokens(F.coalesce("bid_id", F.lit(""))), lambda t: F.struct(t.alias("term"), none.alias("in_text"))),
         )
+        each = records.select("record_id", F.explode(both).alias("t"))
+        posts = each.groupBy("record_id", F.col("t.term").alias("term")).agg(F.count("*").alias("tf"), F.sum("t.in_text").alias("tf_text"))
+        lengths = posts.groupBy("record_id").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(F.col("tf_text") * F.col("tf_text"))).alias("norm"))
+        return Postings(posts.withColumn("bucket", _bucket("term")), lengths, records.agg(F.count("*").alias("n")))
+
+    def stored(self) -> Postings:
+        """The same as tables in the shared folder, the postings in folders by bucket."""
+        kept = materialize(self.postings.repartition("bucket"), "postings", "bucket")
+        lengths = kept.groupBy("record_id").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(F.col("tf_text") * F.col("tf_text"))).alias("norm"))
+        return Postings(kept, materialize(lengths, "lengths"), materialize(self.n, "size"))
+
+    def within(self, records: DataFrame) -> Postings:
+        """Those of some of the records: statistics then come from these alone."""
+        ids = records.select("record_id")
+        return Postings(self.postings.join(ids, "record_id", "left_semi"), self.lengths.join(ids, "record_id", "left_semi"), records.agg(F.count("*").alias("n")))
+
+    def holding(self, terms: DataFrame) -> DataFrame:
+        """The postings of the terms: a pruned scan, as terms say which folders it reads."""
+        wanted = terms.select("term").distinct().withColumn("bucket", _bucket("term"))
+        return self.postings.join(wanted, ["bucket", "term"], "left_semi")
 
-    return F.aggregate(F.array_sort(toks), start, step)["sum"]
 
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
-def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50) -> DataFrame:
+
+def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50, index: Postings | None = None) -> DataFrame:
     """(query_id, record_id, score, rank): BM25 over text and bid id, with statistics of the records given.
 
     3 is added for each identifier of the query that the record has, 1 if the query is part of the text;
     a record without any of a query's identifiers is none of its candidates, one without a score neither.
+    ``index``: the records' postings, where they are kept.
     """
-    r = records.withColumn("toks", tokens(F.concat_ws(" ", F.col("text"), F.col("bid_id"))))
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"), F.array_distinct(tokens("query")).alias("qtoks"))
+    index = index or Postings.of(records)
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("phrase"), tokens("query").alias("toks"))
+    q = q.select("query_id", "phrase", F.array_distinct("toks").alias("qtoks"), F.slice("toks", F.lit(2), F.greatest(F.size("toks") - 2, F.lit(0))).alias("inner"))
     q = q.withColumn("ids", identifiers(F.col("qtoks")))
     terms = q.select("query_id", F.explode("qtoks").alias("term"))
-    tf = _counts(r, terms)
-    stats = r.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
+    tf = index.holding(terms).select("record_id", "term", "tf")
+    stats = index.lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("all_len")).crossJoin(index.n).select("n", (F.col("all_len") / F.col("n")).alias("avg_len"))  # a row each
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    hits = tf.join(df, "term").join(terms, "term").join(index.lengths.select("record_id", "len"), "record_id").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     bm25 = hits.withColumn("part", idf * part).groupBy("query_id", "record_id").agg(
@@ -165,22 +197,23 @@ def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None
     )
     # every candidate has a term of the query, so bonuses need only these rows
     full = bm25.join(q, "query_id").where(F.size(F.array_except("ids", "have")) == 0)
-    full = full.join(r.select("record_id", F.lower("text").alias("low")), "record_id")
-    score = F.round(F.col("bm25") + IDENTIFIER_BONUS * F.size("ids") + F.when(F.contains(F.col("low"), F.col("phrase")), PHRASE_BONUS).otherwise(0.0), 6)
+    # a text that holds the phrase holds the tokens within it, so few texts are looked at
+    near = full.where(F.size(F.array_except("inner", "have")) == 0).select("query_id", "record_id", "phrase")
+    said = near.join(records.select("record_id", "text"), "record_id").where(F.contains(F.lower("text"), F.col("phrase"))).select("query_id", "record_id", F.lit(PHRASE_BONUS).alias("bonus"))
+    full = full.join(said, ["query_id", "record_id"], "left")
+    score = F.round(F.col("bm25") + IDENTIFIER_BONUS * F.size("ids") + F.coalesce("bonus", F.lit(0.0)), 6)
     return _top(full.select("query_id", "record_id", score.alias("score")).where("score > 0"), limit)
 
 
-def semantic_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50) -> DataFrame:
+def semantic_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50, index: Postings | None = None) -> DataFrame:
     """(query_id, record_id, score, rank): cosine of the token counts of query and text."""
-    r = records.withColumn("toks", tokens("text"))
+    index = index or Postings.of(records)
     terms = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tf = _counts(r, terms)
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))
-    dot = tf.join(terms, "term").groupBy("query_id", "record_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    hit = dot.select("record_id").distinct()
-    norms = r.join(hit, "record_id", "left_semi").select("record_id", F.sqrt(_squares(F.col("toks"))).alias("rn"))
-    scored = dot.join(norms, "record_id").join(qnorm, "query_id")
-    return _top(scored.select("query_id", "record_id", F.round(F.col("dot") / (F.col("rn") * F.col("qn")), 6).alias("score")).where("score > 0"), limit)
+    tf = index.holding(terms).where("tf_text > 0").select("record_id", "term", "tf_text")
+    dot = tf.join(terms, "term").groupBy("query_id", "record_id").agg(F.sum(F.col("tf_text") * F.col("qtf")).alias("dot"))
+    scored = dot.join(index.lengths.select("record_id", "norm"), "record_id").join(qnorm, "query_id")
+    return _top(scored.select("query_id", "record_id", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("score")).where("score > 0"), limit)
 
 
 def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], size: int = QUERY_BLOCK) -> DataFrame:
@@ -256,34 +289,57 @@ def dedup_exact(ranked: DataFrame) -> DataFrame:
     return numbered.where("n = 1").withColumn("methods", F.col("all_methods")).select(*ranked.columns)
 
 
-def _similar(a: str, b: str, ratio: float) -> bool:
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= ratio and m.ratio() >= ratio
+#: Length of the pieces that near copies are first compared by.
+PIECE = 4
+
+
+def _pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of PIECE characters of a text, sorted, and how often each stands in it."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(max(0, len(codes) - PIECE + 1), np.uint64)
+    for i in range(PIECE):
+        h = (h ^ codes[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(h, return_counts=True)
+
+
+def _may_be_similar(a: tuple, b: tuple, n: int, ratio: float) -> bool:
+    """Whether texts of n characters together can have the ratio: then m = ratio * n / 2 characters match in
+    blocks. Between two blocks at least one character has no match, so there are at most 1 + n - 2m blocks,
+    and each has its length less PIECE - 1 pieces in common."""
+    m = ratio * n / 2
+    needed = m - (PIECE - 1) * (1 + n - 2 * m)
+    if needed <= 0:
+        return True
+    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return len(common) > 0 and np.minimum(a[1][i], b[1][j]).sum() >= needed
 
 
 def dedup_fuzzy(ranked: DataFrame, ratio: float = 0.9) -> DataFrame:
     """Greedy removal in rank order within a page: a row goes if its text equals or nearly equals that of a
-    kept one. A page's evidence is what one source page holds, so a group is small."""
+    kept one. The rows are the candidates of one query on one page, so a group is bounded by the candidate
+    limit. Only texts whose lengths and common pieces allow the ratio are compared in full."""
     ship(ranked.sparkSession)
     columns = ranked.columns
 
     def keep(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("rank", kind="stable")
-        kept: list[tuple[str, int]] = []
+        kept: list[tuple[str, tuple, int]] = []
         methods: dict[int, set] = {}
         for at, (text, how) in enumerate(zip(page["text"].fillna(""), page["methods"])):
             key = " ".join(text.lower().split())
-            for other, first in kept:
-                short, long = sorted((len(key), len(other)))
-                # cheap upper bounds of the ratio come first: by the lengths, then by the counts of letters
-                if key == other or short + long and 2 * short / (short + long) >= ratio and _similar(other, key, ratio):
+            pieces = _pieces(key)
+            for other, held, first in kept:
+                n, least = len(key) + len(other), min(len(key), len(other))
+                if key == other or (
+                    n and 2 * least / n >= ratio and _may_be_similar(held, pieces, n, ratio) and SequenceMatcher(None, other, key).ratio() >= ratio
+                ):
                     methods[first] |= set(how.split(","))
                     break
             else:
-                kept.append((key, at))
+                kept.append((key, pieces, at))
                 methods[at] = set(how.split(","))
-        out = page.iloc[[at for _, at in kept]].copy()
-        out["methods"] = [",".join(sorted(methods[at])) for _, at in kept]
+        out = page.iloc[[at for *_, at in kept]].copy()
+        out["methods"] = [",".join(sorted(methods[at])) for *_, at in kept]
         return out[columns]
 
     return ranked.groupBy("query_id", "bid_id", "source_file", "page_number").applyInPandas(keep, ranked.schema)
@@ -390,20 +446,26 @@ def apply_authority(evidence: DataFrame) -> DataFrame:
     return e.withColumn("superseded_by", F.when(F.col("authority_status") == "superseded", F.col("_ctl"))).drop("_o", "_v", "_top", "_tied", "_ctl", "_lo", "_hi")
 
 
-def search(records: DataFrame, queries: DataFrame, configuration: str = "hybrid", top_k: int = 5, vectors: DataFrame | None = None, candidate_limit: int = 50) -> DataFrame:
+def search(
+    records: DataFrame, queries: DataFrame, configuration: str = "hybrid", top_k: int | None = 5, vectors: DataFrame | None = None,
+    candidate_limit: int = 50, index: Postings | None = None,
+) -> DataFrame:
     """Ranked evidence for all queries: expansion, candidates, fusion, duplicate removal, reranking, authority.
 
     ``configuration``: keyword-only, semantic-only or hybrid; ``vectors`` are candidates (query_id,
     record_id, rank) of a dense search, which then takes the token cosine's place beside keywords.
     ``candidate_limit`` is doubled for the queries whose results without duplicates are fewer than
-    ``top_k``, as long as that brings new candidates.
+    ``top_k``, as long as that brings new candidates. ``top_k`` None: all records that match.
+    ``index``: the records' postings, where they are kept.
     """
     if configuration not in ("keyword-only", "semantic-only", "hybrid"):
         raise ValueError(configuration)
-    found, limit, open_, before = None, candidate_limit, queries, {}
     n_records = records.count()
+    if top_k is None:
+        top_k = candidate_limit = max(1, n_records)
+    found, limit, open_, before = None, candidate_limit, queries, {}
     while True:
-        fused = _fused_candidates(records, open_, configuration, vectors, limit).persist()  # read twice
+        fused = _fused_candidates(records, open_, configuration, vectors, limit, index).persist()  # read twice
         placed = fused.join(records, "record_id").join(open_.select("query_id", "query"), "query_id")
         unique = dedup_fuzzy(dedup_exact(placed)).persist()
         have = fused.groupBy("query_id").agg(F.count("*").alias("n")).join(unique.groupBy("query_id").agg(F.count("*").alias("u")), "query_id")
@@ -421,15 +483,16 @@ def search(records: DataFrame, queries: DataFrame, configuration: str = "hybrid"
     return apply_authority(final)
 
 
-def _fused_candidates(records: DataFrame, queries: DataFrame, configuration: str, vectors: DataFrame | None, limit: int) -> DataFrame:
+def _fused_candidates(records: DataFrame, queries: DataFrame, configuration: str, vectors: DataFrame | None, limit: int, index: Postings | None) -> DataFrame:
     variants = expand(queries)
     text = variants.select(F.concat_ws("#", "query_id", "variant_no").alias("query_id"), F.col("variant").alias("query"))
     original = lambda c: c.withColumn("query_id", F.substring_index("query_id", "#", 1).cast("long"))
+    index = index or Postings.of(records)
     some = []
     if configuration != "semantic-only":
-        some.append(original(keyword_candidates(records, text, limit)).withColumn("method", F.lit("keyword")))
+        some.append(original(keyword_candidates(records, text, limit, index)).withColumn("method", F.lit("keyword")))
     if configuration != "keyword-only":
-        some.append(original(semantic_candidates(records, text, limit)).withColumn("method", F.lit("semantic")))
+        some.append(original(semantic_candidates(records, text, limit, index)).withColumn("method", F.lit("semantic")))
         if vectors is not None:
             mine = vectors.join(queries.select("query_id"), "query_id", "left_semi")
             some.append(mine.select("query_id", "record_id", "score", "rank").withColumn("method", F.lit("semantic")))
@@ -439,6 +502,28 @@ def _fused_candidates(records: DataFrame, queries: DataFrame, configuration: str
     return fuse(every)
 
 
+#: What an evidence row says of its authority.
+AUTHORITIES = ("current", "superseded", "supporting", "review_required", "unknown")
+
+
+def invalid_results(results: DataFrame) -> DataFrame:
+    """(query_id, record_id, problem) of results that break the contract of an evidence row: it cites a record
+    with text and its source file, has a rank from 1, a finite score and a known authority, which names what
+    supersedes it if it is superseded."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    checks = {
+        "no_citation": blank("record_id") | blank("source_file") | blank("bid_id"),
+        "no_text": blank("text"),
+        "rank": F.coalesce(F.col("rank") < 1, F.lit(True)),
+        "score": F.coalesce(F.isnan("score") | (F.abs("score") == float("inf")), F.lit(True)),
+        "page": F.coalesce(F.col("page_number") < 1, F.lit(False)),
+        "authority": ~F.coalesce("authority_status", F.lit("unknown")).isin(*AUTHORITIES),
+        "superseded_by": (F.coalesce("authority_status", F.lit("")) == "superseded") & F.col("superseded_by").isNull(),
+    }
+    problems = F.filter(F.array(*[F.when(bad, name) for name, bad in checks.items()]), lambda x: x.isNotNull())
+    return results.select("query_id", "record_id", F.explode(problems).alias("problem"))
+
+
 def envelopes(queries: DataFrame, results: DataFrame, matched: DataFrame) -> DataFrame:
     """(query_id, n_results, diagnostic) for every query: no_filter_match where no record passed the filters
     (``matched``: query_id, n), no_supporting_evidence where none was found."""

@@ -7,7 +7,7 @@ from ..functions.text import question_terms, tokens
 from ..operators import answers, evaluation
 from ..operators import retrieval as R
 from .registry import query
-from .tables import EXPANSION_QUERIES, QUERIES, records, table, toks, values
+from .tables import EXPANSION_QUERIES, QUERIES, postings, records, table, toks, values
 
 Q = values(QUERIES, "query_id, query")
 RECORDS = "(SELECT doc_id AS record_id, source AS bid_id, lang AS doc_type, coalesce(text, '') AS text FROM documents)"
@@ -55,7 +55,7 @@ SELECTED = ("query_id", "record_id", "score", "cast(rank as bigint) as rank")
 
 @query("bm25_topk", f"WITH {keyword_sql()} SELECT {OUT} FROM kw")
 def bm25_topk(spark, sf):
-    return R.keyword_candidates(records(spark, sf), _queries(spark), 10).selectExpr(*SELECTED)
+    return R.keyword_candidates(records(spark, sf), _queries(spark), 10, postings(spark, sf)).selectExpr(*SELECTED)
 
 
 FILTERED = "(SELECT doc_id AS record_id, source AS bid_id, text FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
@@ -64,7 +64,8 @@ FILTERED = "(SELECT doc_id AS record_id, source AS bid_id, text FROM documents W
 @query("bm25_filtered_stats", f"WITH {keyword_sql(recs=FILTERED)} SELECT {OUT} FROM kw")
 def bm25_filtered_stats(spark, sf):
     """Statistics come from the filtered records only."""
-    return R.keyword_candidates(_filtered(spark, sf), _queries(spark), 10).selectExpr(*SELECTED)
+    some = _filtered(spark, sf)
+    return R.keyword_candidates(some, _queries(spark), 10, postings(spark, sf).within(some)).selectExpr(*SELECTED)
 
 
 def _filtered(spark, sf):
@@ -80,7 +81,7 @@ def filter_records(spark, sf):
 
 @query("token_cosine_topk", f"WITH {semantic_sql()} SELECT {OUT} FROM sem")
 def token_cosine_topk(spark, sf):
-    return R.semantic_candidates(records(spark, sf), _queries(spark), 10).selectExpr(*SELECTED)
+    return R.semantic_candidates(records(spark, sf), _queries(spark), 10, postings(spark, sf)).selectExpr(*SELECTED)
 
 
 IDENT = values([(1, "Customer 000000007"), (2, "Supplier 000000003"), (3, "name zx-2100"), (4, "customer")], "query_id, query")
@@ -103,7 +104,8 @@ fused AS (SELECT query_id, record_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS s
 
 def _fused(spark, sf):
     r, q = records(spark, sf), _queries(spark)
-    both = R.keyword_candidates(r, q, 50).withColumn("method", F.lit("keyword")).unionByName(R.semantic_candidates(r, q, 50).withColumn("method", F.lit("semantic")))
+    index = postings(spark, sf)
+    both = R.keyword_candidates(r, q, 50, index).withColumn("method", F.lit("keyword")).unionByName(R.semantic_candidates(r, q, 50, index).withColumn("method", F.lit("semantic")))
     return R.fuse(both)
 
 
@@ -155,17 +157,17 @@ rr AS ({rerank_sql('kept')})
 SELECT * FROM (SELECT query_id::BIGINT AS query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id)::BIGINT AS rank FROM rr) WHERE rank <= 5""")
 def hybrid_search(spark, sf):
     """No query here has a trigger of the expansion but the fourth's delivery, which no document holds."""
-    return R.search(records(spark, sf), _queries(spark), "hybrid", 5).selectExpr(*SELECTED)
+    return R.search(records(spark, sf), _queries(spark), "hybrid", 5, index=postings(spark, sf)).selectExpr(*SELECTED)
 
 
 @query("keyword_only_search")
 def keyword_only_search(spark, sf):
-    return R.search(records(spark, sf), _queries(spark), "keyword-only", 5).selectExpr(*SELECTED)
+    return R.search(records(spark, sf), _queries(spark), "keyword-only", 5, index=postings(spark, sf)).selectExpr(*SELECTED)
 
 
 @query("semantic_only_search")
 def semantic_only_search(spark, sf):
-    return R.search(records(spark, sf), _queries(spark), "semantic-only", 5).selectExpr(*SELECTED)
+    return R.search(records(spark, sf), _queries(spark), "semantic-only", 5, index=postings(spark, sf)).selectExpr(*SELECTED)
 
 
 @query("search_envelopes", f"""WITH {keyword_sql(limit=5)}
@@ -174,7 +176,7 @@ FROM {Q} LEFT JOIN kw USING (query_id) GROUP BY query_id""")
 def search_envelopes(spark, sf):
     r, q = records(spark, sf), _queries(spark)
     n = q.select("query_id").crossJoin(r.agg(F.count("*").alias("n")))
-    return R.envelopes(q, R.keyword_candidates(r, q, 5), n)
+    return R.envelopes(q, R.keyword_candidates(r, q, 5, postings(spark, sf)), n)
 
 
 def _expansion_oracle() -> str:
@@ -279,7 +281,7 @@ def qa_answer_top1(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'user' and conv_id % 50 = 0")
     q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
     r = records(spark, sf)
-    best = R.keyword_candidates(r, q, 1).join(r.select("record_id", "text"), "record_id")
+    best = R.keyword_candidates(r, q, 1, postings(spark, sf)).join(r.select("record_id", "text"), "record_id")
     return answers.top_answer(best).select("query_id", F.sha2("answer", 256).alias("answer_sha"), "n_cited")
 
 
@@ -287,7 +289,7 @@ def qa_answer_top1(spark, sf):
 SELECT query_id::BIGINT AS query_id, bid_id, count(*)::BIGINT AS n, string_agg(record_id::VARCHAR, ',' ORDER BY rank) AS records FROM kw JOIN {RECORDS} USING (record_id) GROUP BY query_id, bid_id""")
 def evidence_by_bid(spark, sf):
     r = records(spark, sf)
-    e = R.keyword_candidates(r, _queries(spark), 50).join(r.select("record_id", "bid_id"), "record_id")
+    e = R.keyword_candidates(r, _queries(spark), 50, postings(spark, sf)).join(r.select("record_id", "bid_id"), "record_id")
     out = answers.by_bid(e)
     return out.select("query_id", "bid_id", "n", F.array_join(F.transform("records", lambda x: x.cast("string")), ",").alias("records"))
 

@@ -5,10 +5,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
+from ..operators.retrieval import Postings
+from ..sources.scratch import spread
+
+
+#: Tables whose rows are texts or vectors, by their key: even a small file of these is worth all cores.
+_WIDE = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _WIDE[name]) if name in _WIDE else rows
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,21 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_postings: dict[tuple, Postings] = {}
+
+
+def postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored postings of ``records``: built when a corpus is first searched, as an index is, and anew when
+    its files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = [fs.getFileStatus(path), *fs.listStatus(path)]
+    key = (spark.sparkContext.applicationId, sf_dir, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _postings:
+        _postings[key] = Postings.of(records(spark, sf_dir)).stored()
+    return _postings[key]
+
+
 def toks(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{TOKEN}')"
 
