@@ -195,14 +195,18 @@ def keyword_candidates(records: DataFrame, queries: DataFrame, limit: int | None
     bm25 = hits.withColumn("part", idf * part).groupBy("query_id", "record_id").agg(
         F.sum("part").alias("bm25"), F.collect_set("term").alias("have")
     )
-    # every candidate has a term of the query, so bonuses need only these rows
+    # every candidate has a term of the query, so bonuses need only these rows; a text that holds the phrase
+    # holds the tokens within it
     full = bm25.join(q, "query_id").where(F.size(F.array_except("ids", "have")) == 0)
-    # a text that holds the phrase holds the tokens within it, so few texts are looked at
-    near = full.where(F.size(F.array_except("inner", "have")) == 0).select("query_id", "record_id", "phrase")
-    said = near.join(records.select("record_id", "text"), "record_id").where(F.contains(F.lower("text"), F.col("phrase"))).select("query_id", "record_id", F.lit(PHRASE_BONUS).alias("bonus"))
-    full = full.join(said, ["query_id", "record_id"], "left")
-    score = F.round(F.col("bm25") + IDENTIFIER_BONUS * F.size("ids") + F.coalesce("bonus", F.lit(0.0)), 6)
-    return _top(full.select("query_id", "record_id", score.alias("score")).where("score > 0"), limit)
+    full = full.select("query_id", "record_id", "phrase", (F.col("bm25") + IDENTIFIER_BONUS * F.size("ids")).alias("score"), (F.size(F.array_except("inner", "have")) == 0).alias("near"))
+    if limit is not None:
+        # only what the phrase could still bring among the first is looked at
+        cut = _top(full.select("query_id", "record_id", "score"), limit).groupBy("query_id").agg(F.min("score").alias("cut"), F.count("*").alias("c"))
+        full = full.join(cut, "query_id").where((F.col("c") < limit) | (F.col("score") + PHRASE_BONUS + 1e-6 >= F.col("cut")))
+    text = records.select("record_id", F.lower("text").alias("low"))
+    said = F.when(F.col("near") & F.contains("low", F.col("phrase")), PHRASE_BONUS).otherwise(0.0)
+    scored = full.join(text, "record_id").select("query_id", "record_id", F.round(F.col("score") + said, 6).alias("score"))
+    return _top(scored.where("score > 0"), limit)
 
 
 def semantic_candidates(records: DataFrame, queries: DataFrame, limit: int | None = 50, index: Postings | None = None) -> DataFrame:
