@@ -393,3 +393,81 @@ def test_session_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+ITEMS = [
+    ("Any Additional Documentation Required", "Required documents: W-9, bid form and license", ["W-9", "bid form", "license"]),
+    ("Any Additional Documentation Required", "Vendors must provide Mercury Affidavit and pertinent literature/documentation. Also a Form 1295. A warranty certificate or affidavit is due.",
+     ["Mercury Affidavit", "pertinent literature/documentation", "Form 1295", "warranty certificate or affidavit"]),
+    ("Any Additional Documentation Required", "The required documents are replaced by: Form A, Form B.", ["Form A", "Form B"]),
+    ("Any Additional Documentation Required", "Remove Bond and W-9 from the required documents", ["Bond", "W-9"]),
+    ("Any Additional Documentation Required", "The site map is no longer required.", ["The site map"]),
+    ("contact_info", "Buyer DOE, JANE Email Jane.Doe@City.GOV", ["Jane Doe; jane.doe@city.gov"]),
+    ("contact_info", "Agency POC Name: Al Smith Agency POC Phone Number: (410) 555-0100 Agency POC Email Address: al@state. md.us", ["Al Smith; (410) 555-0100; al@state.md.us"]),
+    ("Product Specification", "Intro\n• Intel processor, 8 cores;\n- 16 GB DDR5\n16 gb ddr5\nNothing", ["Intel processor, 8 cores", "16 GB DDR5"]),
+    ("Product Specification", "All laptops must be Microsoft Copilot ready.", ["Microsoft Copilot ready"]),
+    ("Product", "many items including laptops, desktops and tablets.\nend", ["laptops", "desktops", "tablets"]),
+    ("Part_no", "SKU: 210-BLYZ 619-AQMP Description 999-X", ["210-BLYZ", "619-AQMP"]),
+    ("Part_no", "Part number: A1, B2", ["A1", "B2"]),
+    ("Model_no", "SI# 1234 Dell\nModel #: Latitude 5450.", ["SI# 1234", "Latitude 5450"]),
+    ("company_name", "The Dallas Independent School District is soliciting", ["Dallas Independent School District"]),
+]
+
+
+@pytest.mark.parametrize("field, text, want", ITEMS)
+def test_collection_forms(spark, field, text, want):
+    assert one(spark, F.transform(extract.collection(field, "t"), lambda i: i["value"]), t=text) == want
+
+
+def test_product_attributes(spark):
+    text = "Product: Laptop A\nQuantity: 25\nModel: M-100.\nProduct: SI# 77 Dock B\nPart number: P-9"
+    got = [tuple(i) for i in one(spark, extract.collection("Product", "t"), t=text)]
+    assert got == [("Laptop A", 25, "M-100", None, None), ("Dock B", None, "SI# 77", "P-9", None)]
+
+
+UPDATED = [
+    ("Due Date", "The new due date is July 9", True), ("Due Date", "renewed due date", False), ("Due Date", "Submission  deadline", True), ("Payment Terms", "payment terms - Net 30", True),
+    ("Payment Terms", "payment terms are", False), ("Installation", "Installation of racks is no longer required", True), ("Installation", "installation\nis revised", False),
+    ("Bid Number", "the revised RFP number is", True), ("Bid Number", "revised bid numbers", False), ("Pre Bid Meeting", "pre-bid meetings are rescheduled", True), ("Pre Bid Meeting", "pre proposal conference: new room", True),
+    ("Term of Bid", "The renewal option was extended", True), ("Term of Bid", "prerenewal extended", False), ("Title", "changed solicitation title", True), ("Bid Submission Type", "submission instructions have been updated", True),
+]
+
+
+@pytest.mark.parametrize("field, text, want", UPDATED)
+def test_update_wording(spark, field, text, want):
+    assert one(spark, extract.is_update(field, "t"), t=text) is want
+
+
+def test_titles_and_numbers(spark):
+    for field, text, want in [
+        ("Title", "Solicitation Number: 5 Title Laptops for all Source ID 9", "Laptops for all"), ("Title", "Request for Proposal 123 . JA-207652 Student and Staff Devices\nmore", "Student and Staff Devices"),
+        ("Title", "JA-207652 Student Devices **SOURCING x", "Student Devices"), ("Bid Submission Type", "Use eMMA to submit", "eMMA e-Procurement system"),
+        ("Bid Submission Type", "iSupplier or a sealed envelope", "iSupplier electronic portal or sealed manual submission"), ("Model_no", "Model number: Latitude-5450 x", "Latitude-5450"),
+    ]:
+        assert one(spark, extract.scalar(field, "t"), t=text) == want, (field, text)
+
+
+def test_due_dates_and_scope(spark):
+    schema = "bid_id string, record_id string, source_file string, page_number int, section_title string, doc_type string, content_kind string, addendum_number int, document_date string, authority_status string, text string"
+    rows = [
+        ("b", "r1", "a.html", 1, "Dates", "bid_page", "text", None, None, None, "Open Date 5/1/2026 Close 6/9/2026"),
+        ("b", "r2", "b.pdf", 1, None, "rfp", "text", None, None, None, "Due date: June 27, 2026"),
+        ("b", "r3", "c.pdf", 1, None, "rfp", "text", None, None, None, "Submission deadline: June 27, 2026 2:00 PM CST"),
+        ("b", "r4", "c.pdf", 2, None, "rfp", "text", None, None, None, "Bid number: 55\nInitial term: 1. Renewal 1: 1"),
+        ("b", "r5", "d.pdf", 1, None, "rfp", "text", None, None, None, "PORFP Number: F50-77"),
+        ("p", "r6", "a.html", 1, "Dates", "bid_page", "text", None, None, None, "Open Date 5/1/2026 Close 6/9/2026"),
+        (None, "r7", "z.html", 1, None, "rfp", "text", None, None, None, "Due date: March 3, 2026"),
+    ]
+    bids = spark.createDataFrame([("b",), ("p",), ("q",)], "bid_id string")
+    got = {(r.bid_id, r.field): r for r in extract.extract(spark.createDataFrame(rows, schema), bids).where("status = 'supported'").collect()}
+    due = got["b", "Due Date"]
+    assert due.value == "2026-06-27 14:00 CST" and [c.record_id for c in due.citations] == ["r2", "r3"]
+    assert got["p", "Due Date"].value == "2026-06-09" and got["q", "Due Date"].value == "2026-03-03" and got["b", "Bid Number"].value == "F50-77"
+
+
+def test_agent_rules(spark):
+    for key, text, goal, want in [
+        ("mandatory_requirements", "Vendors must insure. Laptops must have 16 GB memory. Ok.", "memory of laptops", "Laptops must have 16 GB memory."), ("mandatory_requirements", "You must a. You must b.", "", None),
+        ("model_number", "SI# 12-A Dell Latitude 5450 here", "", "Dell Latitude 5450"), ("solicitation_number", "RFP JA-207652 due", "", "JA-207652"), ("bid_bond", "bid bond of 5 % of total", "", "5 %"),
+    ]:
+        assert one(spark, extract.agent_value(key, "t", goal), t=text) == want, (key, text)
