@@ -73,31 +73,39 @@ def scope_fingerprints(records: DataFrame) -> DataFrame:
 
 class Index:
     """Incremental corpus: unchanged scopes keep their rows, changed ones are replaced, missing ones go
-    unless they are to be preserved; bids that a request does not name are untouched."""
+    unless they are to be preserved; bids that a request does not name are untouched. An update rewrites
+    the buckets of bids with a changed scope and no others."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, VersionedStore(spark, root, RECORDS)
+        self.spark, self.store = spark, VersionedStore(spark, root, RECORDS, key="bid_id")
 
     def records(self) -> DataFrame:
         return self.store.load().where("status = 'current'")
 
-    def update(self, records: DataFrame, full_rebuild: bool = False, preserve: DataFrame | None = None) -> dict:
-        """Commit a new version; the counts of what happened to the scopes. A failure leaves the old version."""
-        old = self.store.load()
-        bids = records.select("bid_id").distinct()
-        same = old if full_rebuild else old.join(bids, "bid_id", "left_semi")
-        changes = scope_changes(scope_fingerprints(same), scope_fingerprints(records))
-        if preserve is not None:
-            changes = changes.join(preserve.select("scope_id"), "scope_id", "left_anti")
-        gone = changes.where("state in ('changed', 'deleted')").select("scope_id")
-        fresh = records.join(changes.where("state in ('new', 'changed')").select("scope_id"), "scope_id", "left_semi")
-        if full_rebuild:
-            merged = records
-        else:
-            merged = old.join(gone, "scope_id", "left_anti").unionByName(fresh)
-        counts = change_counts(changes).first().asDict()
-        self.store.commit(merged)
-        return counts
+    def update(self, records: DataFrame, full_rebuild: bool = False, preserve: DataFrame | None = None, scopes: DataFrame | None = None) -> dict:
+        """Commit a new version; the counts of what happened to the scopes. A failure leaves the old version.
+        ``scopes(scope_id)``: the only ones that are compared, all others stay as they are."""
+        with self.store.locked():
+            named = self.store.buckets_of(records)
+            old = self.store.load(None if full_rebuild else named)
+            bids = records.select("bid_id").distinct()
+            same = old if full_rebuild else old.join(bids, "bid_id", "left_semi")
+            if scopes is not None:
+                same = same.join(scopes.select("scope_id"), "scope_id", "left_semi")
+            changes = scope_changes(scope_fingerprints(same), scope_fingerprints(records))
+            if preserve is not None:
+                changes = changes.join(preserve.select("scope_id"), "scope_id", "left_anti")
+            counts = change_counts(changes).first().asDict()
+            if full_rebuild:
+                self.store.commit(records)
+                return counts
+            gone = changes.where("state in ('changed', 'deleted')").select("scope_id")
+            fresh = records.join(changes.where("state in ('new', 'changed')").select("scope_id"), "scope_id", "left_semi")
+            touched = sorted({*self.store.buckets_of(fresh), *self.store.buckets_of(old.join(gone, "scope_id", "left_semi"))})
+            if touched:
+                kept = self.store.load(touched).join(gone, "scope_id", "left_anti")
+                self.store.commit(kept.unionByName(fresh), touched)
+            return counts
 
     def rollback(self) -> str:
         """Point at the version before the current one."""
@@ -130,7 +138,7 @@ class VectorStore:
     """Vectors of the corpus: only changed scopes are embedded anew; another model or dimension is refused."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, VersionedStore(spark, root, VECTORS)
+        self.spark, self.store = spark, VersionedStore(spark, root, VECTORS, key="record_id")
 
     def load(self, provider: EmbeddingProvider | None = None) -> DataFrame:
         vectors = self.store.load()
@@ -142,14 +150,19 @@ class VectorStore:
         return vectors
 
     def update(self, records: DataFrame, provider: EmbeddingProvider, full_rebuild: bool = False) -> dict:
-        old = self.store.load().limit(0) if full_rebuild else self.load(provider)
-        pair = lambda d: d.select(F.col("record_id").alias("scope_id"), F.col("content_fingerprint").alias("fingerprint")).distinct()
-        changes = scope_changes(pair(old), pair(records.where(F.trim("text") != "")))
-        fresh = records.join(changes.where("state in ('new', 'changed')").select(F.col("scope_id").alias("record_id")), "record_id", "left_semi")
-        kept = old.join(changes.where("state = 'unchanged'").select(F.col("scope_id").alias("record_id")), "record_id", "left_semi")
-        counts = change_counts(changes).first().asDict()
-        empty = records.where(F.coalesce(F.trim("text"), F.lit("")) == "").count()
-        self.store.commit(kept.unionByName(embed(fresh, provider)))
+        """Embed new and changed records; only the buckets that hold them or records that went are rewritten."""
+        with self.store.locked():
+            old = self.store.load().limit(0) if full_rebuild else self.load(provider)
+            pair = lambda d: d.select(F.col("record_id").alias("scope_id"), F.col("content_fingerprint").alias("fingerprint")).distinct()
+            changes = scope_changes(pair(old), pair(records.where(F.trim("text") != "")))
+            counts = change_counts(changes).first().asDict()
+            fresh = records.join(changes.where("state in ('new', 'changed')").select(F.col("scope_id").alias("record_id")), "record_id", "left_semi")
+            gone = changes.where("state in ('changed', 'deleted')").select(F.col("scope_id").alias("record_id"))
+            empty = records.where(F.coalesce(F.trim("text"), F.lit("")) == "").count()
+            touched = None if full_rebuild else self.store.buckets_of(changes.where("state <> 'unchanged'"), "scope_id")
+            if touched is None or touched:
+                kept = old if full_rebuild else self.store.load(touched).join(gone, "record_id", "left_anti")
+                self.store.commit(kept.unionByName(embed(fresh, provider)), touched)
         return {"embedded": counts["indexed"], "unchanged": counts["skipped"], "replaced": counts["replaced"], "removed": counts["removed"], "skipped_empty": empty}
 
 

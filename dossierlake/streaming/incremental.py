@@ -39,9 +39,7 @@ def ingest(spark: SparkSession, root: str, index: Index, checkpoint: str, on_bat
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = index_records(html_chunks(batch))
-        named = fresh.select("scope_id").distinct()
-        others = index.store.load().join(fresh.select("bid_id").distinct(), "bid_id", "left_semi").join(named, "scope_id", "left_anti")
-        counts = index.update(others.unionByName(fresh))
+        counts = index.update(fresh, scopes=fresh.select("scope_id").distinct())
         if on_batch:
             on_batch(number, counts)
 

@@ -267,6 +267,38 @@ def test_vector_lifecycle(spark, tmp_path):
     assert tuple(b / 255 for b in hashlib.sha256(b"a").digest()[:8]) in v
 
 
+def test_a_killed_writer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    """Data written and manifest not yet renamed: readers see the version before, and the next writer goes on."""
+    store = VersionedStore(spark, str(tmp_path / "s"), "a int, b string", key="b", lock_seconds=2, lease_seconds=0.5)
+    rows = lambda *x: spark.createDataFrame([(i, str(i)) for i in x], "a int, b string")
+    assert store.load().count() == 0 and store.current() is None
+    store.commit(rows(1, 2, 3))
+    other = VersionedStore(spark, str(tmp_path / "s"), "a int, b string", key="b", lock_seconds=2, lease_seconds=0.5)
+
+    def killed(manifest):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(other, "_publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        other.commit(rows(9))
+    assert sorted(r.a for r in store.load().collect()) == [1, 2, 3]
+    (tmp_path / "s" / "_lock").touch()  # as a writer leaves it that was killed with its lock
+    version = store.commit(rows(4))
+    assert store.current() == version and [r.a for r in store.load().collect()] == [4]
+
+
+def test_commits_share_unchanged_buckets(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"), "a int, b string", key="b")
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(50)], "a int, b string")
+    store.commit(rows)
+    before = store.manifest()["buckets"]
+    touched = store.buckets_of(rows.where("b = 'k7'"))
+    store.commit(store.load(touched).where("b <> 'k7'").unionByName(spark.createDataFrame([(70, "k7")], "a int, b string")), touched)
+    after = store.manifest()["buckets"]
+    assert {b for b in after if after[b] != before[b]} == {str(b) for b in touched}
+    assert sorted(r.a for r in store.load().collect()) == sorted([70, *(i for i in range(50) if i != 7)])
+
+
 def test_failed_commit_and_lock(spark, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "s"), "a int", lock_seconds=0.3)
     store.commit(spark.createDataFrame([(1,)], "a int"))
@@ -274,8 +306,9 @@ def test_failed_commit_and_lock(spark, tmp_path):
     with pytest.raises(Exception):
         store.commit(bad)
     assert [r.a for r in store.load().collect()] == [1]
+    again = VersionedStore(spark, str(tmp_path / "s"), "a int", lock_seconds=0.3)
     with store.locked(), pytest.raises(TimeoutError):
-        store.commit(spark.createDataFrame([(2,)], "a int"))
+        again.commit(spark.createDataFrame([(2,)], "a int"))
     export_json(spark.createDataFrame([("b", 1)], "bid_id string, a int"), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().a == 1
 
@@ -292,7 +325,7 @@ def test_stream_ingests_new_files(spark, tmp_path):
     (root / "b2/c.html").write_text("<body><p>Third</p></body>")
     run()
     assert {r.source_file: r.text for r in index.records().collect()} == {"a.html": "Head\nFirst words here", "b.html": "Second file", "c.html": "Third"}
-    assert seen[0]["indexed"] == 1 and seen[-1]["indexed"] == 2 and seen[-1]["skipped"] == 1
+    assert seen[0]["indexed"] == 1 and seen[-1]["indexed"] == 2 and seen[-1]["scopes"] == 2  # a batch compares its own files only
 
 
 def test_windowed_counts(spark):
