@@ -94,10 +94,12 @@ def normalize_text(text) -> Column:
         )
 
     folded = F.aggregate(lines, start, step, push)
-    repeats = lambda x: F.size(F.filter(folded, lambda y: y == x)) >= 3
-    noise = lambda x: is_layout_noise(x) & (F.length(x) < 120) & repeats(x)
-    kept = F.when(F.size(folded) > 2, F.filter(folded, lambda x: ~noise(x))).otherwise(folded)
-    return F.trim(F.array_join(kept, "\n"))
+    # bound once, so that neither the fold nor the page markers among its lines are computed for each line
+    bound = F.transform(F.array(folded), lambda lines: F.struct(lines.alias("lines"), F.filter(lines, lambda x: is_layout_noise(x) & (F.length(x) < 120)).alias("marks")))
+    repeats = lambda s, x: F.size(F.filter(s["marks"], lambda y: y == x)) >= 3
+    kept = F.transform(bound, lambda s: F.when(
+        (F.size(s["lines"]) > 2) & (F.size(s["marks"]) >= 3), F.filter(s["lines"], lambda x: ~(is_layout_noise(x) & (F.length(x) < 120) & repeats(s, x)))).otherwise(s["lines"]))
+    return F.trim(F.array_join(F.get(kept, F.lit(0)), "\n"))
 
 
 def redact(text, limit: int = 500) -> Column:

@@ -28,6 +28,13 @@ def relevant(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("overlap", score).withColumn("most", F.max("overlap").over(w)).where("overlap = most").drop("most")
 
 
+def relevant_by_bid(evidence: DataFrame) -> DataFrame:
+    """The same within each bid of a question."""
+    score = F.size(F.array_intersect(question_terms("query"), question_terms("text")))
+    w = Window.partitionBy("query_id", "bid_id")
+    return evidence.withColumn("overlap", score).withColumn("most", F.max("overlap").over(w)).where("overlap = most").drop("most", "overlap")
+
+
 def unique(evidence: DataFrame) -> DataFrame:
     """Of repeated records the last, in the order in which each first came: rows (query_id, record_id, seq, ...)."""
     w = Window.partitionBy("query_id", "record_id")

@@ -1,6 +1,9 @@
 """Retrieval quality and evaluation cases."""
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +66,51 @@ def workflow_status(fields: DataFrame) -> DataFrame:
     return fields.groupBy("run_id").agg(
         F.when(F.every(s == "failed"), "failed").when(F.bool_or(s == "review_required"), "review_required").when(F.bool_or(s.isin("not_found", "failed")), "partial")
         .otherwise("completed").alias("status"))
+
+
+class ObservedVectors:
+    """A vector search (queries to a table of candidates, or a failure) whose diagnostics are kept. With any, a
+    configuration that needs vectors is not what was measured."""
+
+    def __init__(self, search: Callable[[DataFrame], DataFrame]):
+        self.search, self.diagnostics = search, []
+
+    def __call__(self, queries: DataFrame) -> DataFrame | None:
+        try:
+            found = self.search(queries)
+            found.limit(1).count()  # a backend that fails does so when it is read
+        except Exception as e:
+            self.diagnostics.append(f"{type(e).__name__}: {e}")
+            return None
+        return found
+
+
+class ObservedReranker:
+    """A pair model whose calls, short or non-finite scores and failures are noted; its output is passed on. The
+    notes are of this process: where the model runs on executors, ``valid_scores`` marks the same on its rows."""
+
+    def __init__(self, predict: Callable[[list[tuple[str, str]]], list[float]]):
+        self.predict, self.calls, self.diagnostic = predict, 0, None
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]:
+        self.calls += 1
+        try:
+            scores = list(self.predict(pairs))
+        except Exception as e:
+            self.diagnostic = str(e)
+            raise
+        if len(scores) != len(pairs) or not all(math.isfinite(float(s)) for s in scores):
+            self.diagnostic = "the reranker returned invalid scores"
+        return scores
+
+
+def valid_scores(reranked: DataFrame) -> DataFrame:
+    """(query_id, valid): whether all scores of a query are finite numbers."""
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    return reranked.groupBy("query_id").agg(F.every(~bad).alias("valid"))
+
+
+def configuration_status(configuration: str, vectors: ObservedVectors | None) -> str:
+    """available, or lexical-fallback where the configuration asks for vectors and their search failed."""
+    asks = configuration in ("semantic-only", "hybrid")
+    return "lexical-fallback" if asks and vectors is not None and vectors.diagnostics else "available"

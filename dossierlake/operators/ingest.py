@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -299,13 +300,16 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     """Adds ``furniture`` to rows (document_id, page_id, line_no, n_lines, line): removed for a short edge line
     whose key stands on three fifths of the document's pages and at least two, uncertain for one on two or more."""
     edge = (F.col("line_no") < EDGE_LINES) | (F.col("line_no") >= F.col("n_lines") - 1)
-    keyed = lines.withColumn("key", F.when(edge, edge_line_key("line")))
+    # inner lines have no key and stay as they are, so they take part in no join
+    keyed = lines.where(edge).withColumn("key", edge_line_key("line"))
+    inner = lines.where(~edge).withColumns({"key": F.lit(None).cast("string"), "furniture": F.lit("kept")})
     counts = keyed.where((F.col("key") != "") & (F.trim("line") != "") & (F.length("line") <= EDGE_CHARS)).groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("on_pages"))
     pages = lines.groupBy("document_id").agg(F.count_distinct("page_id").alias("pages"))
-    both = keyed.join(counts, ["document_id", "key"], "left").join(pages, "document_id")
+    on = counts.where("on_pages >= 2").join(pages, "document_id")
     needed = F.greatest(F.lit(2), F.ceil(F.col("pages") * 3 / 5))
-    state = F.when(F.col("pages") < 2, "kept").when(F.col("on_pages") >= needed, "removed").when(F.col("on_pages") >= 2, "uncertain").otherwise("kept")
-    return both.withColumn("furniture", state).drop("on_pages", "pages")
+    state = on.select("document_id", "key", F.when(F.col("on_pages") >= needed, "removed").otherwise("uncertain").alias("furniture"))
+    both = keyed.join(state, ["document_id", "key"], "left").withColumn("furniture", F.coalesce("furniture", F.lit("kept")))
+    return both.select(*lines.columns, "key", "furniture").unionByName(inner.select(*lines.columns, "key", "furniture"))
 
 
 def rectangular(rows, columns=None) -> Column:
@@ -334,13 +338,22 @@ def word_ranges(text: str, target: int = TARGET, largest: int = LARGEST, overlap
             paragraphs.append(i)
         if re.search(r"[.!?][\"')\]]*$", text[slice(*spans[i - 1])]):
             sentences.append(i)
+
+    def last(ends: list[int], low: int, high: int) -> int | None:
+        """The greatest end over ``low`` and up to ``high``."""
+        k = bisect_right(ends, high)
+        return ends[k - 1] if k and ends[k - 1] > low else None
+
+    def first(ends: list[int], low: int, high: int) -> int:
+        k = bisect_right(ends, low)
+        return ends[k] if k < len(ends) and ends[k] <= high else high
+
     out, at = [], 0
     while at < n:
         end = n
         if n - at > largest:
-            near = next((c[-1] for c in ([x for x in b if at + overlap < x <= at + target] for b in (paragraphs, sentences)) if c), None)
-            later = [x for x in (*paragraphs, *sentences) if at + target < x <= at + largest]
-            end = near or min(later, default=at + largest)
+            near = last(paragraphs, at + overlap, at + target) or last(sentences, at + overlap, at + target)
+            end = near or min(first(b, at + target, at + largest) for b in (paragraphs, sentences))
         out.append((at, end))
         if end == n:
             return out

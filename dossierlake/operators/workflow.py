@@ -18,9 +18,11 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import answers, extract, registry, retrieval
+from ..sources.scratch import materialize
+from . import answers, evaluation, extract, qa, registry, retrieval
 
 VERSION = "1"
+# fixed values: the contract of requests and goals
 DOC_TYPES = ("bid_page", "rfp", "addendum", "specs", "affidavit", "supporting", "unknown")
 FILTER_KEYS = ("doc_type", "addendum_number", "include_incomplete")
 BROAD_GOALS = ("all fields", "everything", "full extraction", "complete extraction", "all requirements")
@@ -85,9 +87,16 @@ def safe_summary(value: Any, limit: int = 500) -> Any:
     return value if value is None or isinstance(value, (int, float, bool)) else str(value)[:limit]
 
 
+#: Keys that the payload of a message must have, by its type.
+PAYLOADS = {
+    "plan": ("mode", "groups", "bid_ids"), "evidence": ("count",), "rejection": ("reason",), "workflow_handoff": ("node",),
+}
+
+
 @dataclass
 class Message:
-    """A handoff between steps; ``check`` rejects another version, sender or run."""
+    """A handoff between steps; ``check`` rejects another version, sender, recipient or run, and payloads that
+    are of no known type or lack a key of theirs."""
 
     run_id: str
     sender: str
@@ -100,8 +109,15 @@ class Message:
     def check(self, run_id: str, sender: str, recipient: str) -> Message:
         if (self.version, self.run_id, self.sender, self.recipient) != (VERSION, run_id, sender, recipient):
             raise ValueError("invalid_message")
+        missing = [k for k in PAYLOADS.get(self.payload_type, ("",)) if k not in self.payload]
+        if missing:
+            raise ValueError(f"invalid_message: {self.payload_type} without {missing}")
         return self
 
+    def rejected(self, reason: str) -> Message:
+        """The answer to a message that cannot be accepted."""
+        return Message(self.run_id, self.recipient, self.sender, "rejection", {"reason": reason}, task_id=self.task_id)
+
 
 class Trace:
     """Events of a run, written as rows."""
@@ -126,32 +142,252 @@ class Trace:
         return spark.createDataFrame(self.events, "run_id string, seq int, node string, event string, status string, details string, at double")
 
 
-def run(records: DataFrame, mode: str, goal: str, bid_ids: list[str], max_retries: int = 2, filters: dict | None = None, trace: Trace | None = None) -> dict:
-    """One run over the bids: for extraction the reconciled, validated fields; for a question the cited answers."""
-    trace = trace or Trace(uuid.uuid4().hex)
-    plan = build_plan(mode, goal, bid_ids)
-    trace.event("planner", "plan", groups=list(plan["groups"]), unsupported=plan["unsupported"])
-    filters = validate_filters(filters or {})
-    scope = retrieval.filter_records(records, bids=bid_ids, doc_type=filters.get("doc_type"), addendum=filters.get("addendum_number"), include_incomplete=True)
-    if mode == "qa":
-        spark = records.sparkSession
-        found = retrieval.search(scope, retrieval.make_queries(spark, [{"text": goal, "query_id": 1}]), top_k=10)
-        best = answers.relevant(found.join(spark.createDataFrame([(1, goal)], "query_id long, query string"), "query_id") if "query" not in found.columns else found)
-        return {"run_id": trace.run_id, "plan": plan, "evidence": best, "answer": answers.top_answer(best.withColumn("rank", F.row_number().over(_by_rank()))), "trace": trace}
-    base = extract.extract(scope.where(~extract.is_addendum_evidence()))
-    changes = extract.reconcile_scalars(base, extract.update_candidates(scope))
-    fields = final_fields(base, changes)
-    for attempt in range(max_retries + 1):
+#: Groups of fields whose result others wait for; groups run on so many threads.
+GROUP_NEEDS = {"compliance": ("submission",)}
+GROUP_WORKERS = 4
+#: Records of one bid that a model provider is shown for a group.
+PROVIDER_EVIDENCE = 50
+
+
+def run_groups(groups: dict[str, list[str]], work: Callable[[str, list[str]], Any], needs: dict[str, tuple] = GROUP_NEEDS, workers: int = GROUP_WORKERS) -> tuple[dict[str, Any], dict[str, str]]:
+    """({group: result}, {group: error}): each group starts once those it needs are done; one whose needs
+    failed, are circular or are not there counts as failed, and no other is held up by it."""
+    results, errors, waiting = {}, {}, dict(groups)
+    needed = {g: [n for n in needs.get(g, ()) if n in groups] for g in groups}
+    with ThreadPoolExecutor(max(1, min(workers, len(groups) or 1))) as pool:
+        while waiting:
+            for g in [g for g in waiting if any(n in errors for n in needed[g])]:
+                errors[g] = "a group that it needs failed"
+                del waiting[g]
+            ready = [g for g in waiting if all(n in results for n in needed[g])]
+            if not ready:
+                errors.update({g: "its needs cannot be met" for g in waiting})
+                break
+            started = {g: pool.submit(work, g, waiting.pop(g)) for g in ready}
+            for g, future in started.items():
+                try:
+                    results[g] = future.result()
+                except Exception as e:
+                    errors[g] = f"{type(e).__name__}: {e}"
+    return results, errors
+
+
+def field_queries(spark: SparkSession, fields: list[str]) -> DataFrame:
+    """One query for each field, of all its phrases: (query_id, query), numbered in the given order."""
+    ids = {f[5]: f[0] for f in registry.FIELDS if f[5]} | {f[1]: f[0] for f in registry.FIELDS if f[1]}
+    rows = [(i, registry.ALIASES[ids[name]].replace("|", " ")) for i, name in enumerate(fields)]
+    return spark.createDataFrame(rows, "query_id long, query string")
+
+
+def retrieve(scope: DataFrame, fields: list[str], limit: int | None = None) -> DataFrame:
+    """(field, and the columns of the records): the evidence of every field in one plan, best first by ``rank``;
+    without a limit all that holds a word of its phrases."""
+    names = scope.sparkSession.createDataFrame(list(enumerate(fields)), "query_id long, field string")
+    found = retrieval.keyword_candidates(scope, field_queries(scope.sparkSession, fields), limit)
+    return found.join(F.broadcast(names), "query_id").select("field", "record_id", "rank").join(scope, "record_id")  # a row for each field
+
+
+def propose(provider: ModelProvider, evidence: DataFrame, fields: list[str], trace: Trace) -> DataFrame:
+    """(bid_id, field, value, record_id): what a provider proposes for the fields of each bid and a passage it
+    was shown supports. It is shown the best PROVIDER_EVIDENCE passages of a bid."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("bid_id").orderBy("rank", "record_id")
+    shown = evidence.where(F.col("field").isin(fields)).dropDuplicates(["bid_id", "record_id"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= PROVIDER_EVIDENCE)
+    by_bid: dict[str, list[dict]] = {}
+    for r in shown.select("bid_id", "record_id", "text").collect():  # bounded by the bids of the request
+        by_bid.setdefault(r.bid_id, []).append(r.asDict())
+    rows = []
+    for bid, passages in sorted(by_bid.items()):
+        values = trace.tool("extract_fields", lambda passages=passages: provider.extract_fields(passages, fields), bid=bid)
+        if not isinstance(values, dict):
+            raise TypeError("the provider's result is no mapping")
+        rows += [(bid, k, str(v)) for k, v in values.items() if k in fields and v is not None]
+    spark = evidence.sparkSession
+    proposed = spark.createDataFrame(rows, "bid_id string, field string, proposal string")
+    held = proposed.join(shown.select("bid_id", "record_id", "text"), "bid_id").where(extract.supported_proposal("proposal", "text"))
+    return held.groupBy("bid_id", "field").agg(F.min("proposal").alias("value"), F.min("record_id").alias("record_id"))
+
+
+def validate(fields: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds to fields (bid_id, field, value, record_id, status): format_valid, evidence_supported, consistent,
+    verdict (passed, review_required or rejected), reason, retry (rejected, so worth another retrieval).
+
+    A value must have its form, stand in its cited passage or in another spelling there, and a bid bond must
+    not contradict a requirement that says none is needed. A field that was not found is accepted.
+    """
+    texts = evidence.select(F.col("record_id").alias("_r"), F.col("text").alias("_t")).dropDuplicates(["_r"])
+    none = fields.where("field = 'mandatory_requirements'").where(F.lower("value").contains("no bond required")).select("bid_id", F.lit(True).alias("_none")).distinct()
+    f = fields.join(texts, F.col("record_id") == F.col("_r"), "left").join(none, "bid_id", "left")
+    has = F.col("value").isNotNull()
+    form = F.when(has, F.coalesce(extract.valid_format("field", "value"), F.lit(False))).otherwise(True)
+    held = has & F.coalesce(extract.supported_proposal("value", "_t"), F.lit(False))
+    consistent = ~(has & (F.col("field") == "bid_bond") & F.coalesce("_none", F.lit(False)))
+    f = f.withColumns({"format_valid": form, "evidence_supported": held, "consistent": consistent})
+    good = (has & form & held & consistent & (F.col("status") == "supported")) | (~has & (F.col("status") == "not_found"))
+    verdict = F.when(good, "passed").when(F.col("status") == "review_required", "review_required").otherwise("rejected")
+    reason = F.when(good, F.lit(None)).when(~form, "invalid field value or unit").when(~held, "cited evidence does not support the value").when(
+        ~consistent, "field conflicts with another requirement").otherwise("field failed validation")
+    return f.withColumns({"verdict": verdict, "reason": reason}).withColumn("retry", F.col("verdict") == "rejected").drop("_r", "_t", "_none")
+
+
+def ensure_index(index, bid_ids: list[str], ingest: Callable[[list[str]], DataFrame] | None = None) -> dict:
+    """Which of the bids the corpus holds; those it lacks are ingested, if it is said how, and compared again."""
+    def held() -> set[str]:
+        wanted = index.spark.createDataFrame([(b,) for b in bid_ids], "bid_id string")
+        return {r.bid_id for r in index.records().select("bid_id").join(F.broadcast(wanted), "bid_id", "left_semi").distinct().collect()}  # bids of one request
+
+    have = held()
+    missing = [b for b in bid_ids if b not in have]
+    if missing and ingest is not None:
+        index.update(ingest(missing))
+        have = held()
+    return {"ready": [b for b in bid_ids if b in have], "missing": [b for b in bid_ids if b not in have]}
+
+
+class Failed(RuntimeError):
+    """A step failed; the run's state holds the step and the reason."""
+
+
+def node(trace: Trace, name: str, operation: Callable[[], Any], message: Message | None = None) -> Any:
+    """Run a step within its boundary: the handoff is checked first, start and end are traced, and a failure
+    is raised as one of the step."""
+    try:
+        if message is not None:
+            message.check(trace.run_id, message.sender, name)
+        trace.event(name, "start")
+        out = operation()
+    except Exception as e:
+        trace.event(name, "failed", "failed", error=str(e))
+        raise Failed(f"{name}: {type(e).__name__}: {e}") from e
+    trace.event(name, "end")
+    return out
+
+
+def run(
+    records: DataFrame, mode: str, goal: str, bid_ids: list[str], max_retries: int = 2, filters: dict | None = None, trace: Trace | None = None,
+    provider: ModelProvider | None = None,
+) -> dict:
+    """One run over the bids: for extraction the reconciled and validated fields, for a question the composed
+    answer with its claims. A failed step gives a state with status failed and what failed.
+
+    ``provider`` proposes values for the agent's fields and may word an answer; what it says counts only
+    where evidence supports it, and without one all is deterministic.
+    """
+    trace, provider = trace or Trace(uuid.uuid4().hex), provider or DeterministicProvider()
+    state: dict = {"run_id": trace.run_id, "status": "completed", "diagnostics": [], "trace": trace}
+    try:
+        state["plan"] = plan = node(trace, "planner", lambda: build_plan(mode, goal, bid_ids))
+        filters = validate_filters(filters or {})
+        handoff = Message(trace.run_id, "planner", "retrieval", "plan", plan)
+        scope = node(trace, "retrieval", lambda: retrieval.filter_records(
+            records, bids=bid_ids, doc_type=filters.get("doc_type"), addendum=filters.get("addendum_number"), include_incomplete=bool(filters.get("include_incomplete"))), handoff)
+        state |= _answered(scope, goal, provider, trace) if mode == "qa" else _extracted(records, scope, goal, plan, max_retries, provider, trace)
+    except Failed as e:
+        state |= {"status": "failed", "diagnostics": [*state["diagnostics"], {"code": "node_failed", "message": str(e), "severity": "error"}]}
+    return state
+
+
+#: Passages that a question is answered from; all that match, where it asks for everything of a kind.
+QA_TOP_K, ALL_OF = 10, ("all ", "list ", "every", "compare", "addend", "amend")
+
+
+def _answered(scope: DataFrame, goal: str, provider: ModelProvider, trace: Trace) -> dict:
+    spark = scope.sparkSession
+    questions = retrieval.make_queries(spark, [{"text": goal, "query_id": 1}])
+    top_k = None if any(w in goal.lower() for w in ALL_OF) else QA_TOP_K
+    found = node(trace, "evidence", lambda: retrieval.search(scope, questions, top_k=top_k))
+    said = node(trace, "report", lambda: qa.compose(questions, found).first())
+    text, diagnostics = said.answer, []
+    if said.found and not isinstance(provider, DeterministicProvider):
+        try:
+            text = trace.tool("generate_report", lambda: provider.generate_report(goal, [c.asDict() for c in said.citations], said.answer))
+        except Exception as e:  # the composed answer stands
+            diagnostics.append({"code": "report_generation_fallback", "message": f"{type(e).__name__}; deterministic answer returned", "severity": "warning"})
+    best = answers.relevant(found).withColumn("rank", F.row_number().over(_by_rank()))
+    return {"evidence": best, "answer": answers.top_answer(best), "composed": {**said.asDict(), "answer": text}, "diagnostics": diagnostics}
+
+
+def _extracted(records: DataFrame, scope: DataFrame, goal: str, plan: dict, max_retries: int, provider: ModelProvider, trace: Trace) -> dict:
+    # small tables, a row for each field of a bid: written once, since the steps below read them again and again
+    base = node(trace, "extraction", lambda: materialize(extract.extract(scope.where(~extract.is_addendum_evidence())), "fields"))
+    changes = node(trace, "reconciliation", lambda: materialize(extract.reconcile_scalars(base, extract.update_candidates(scope)), "changes"))
+    fields = materialize(final_fields(base, changes), "fields")
+    # what the base documents of the request do not give, incomplete records of its bids and then addenda may
+    wider = [lambda: records.where(F.col("bid_id").isin(plan["bid_ids"])).where(~extract.is_addendum_evidence()), lambda: records.where(F.col("bid_id").isin(plan["bid_ids"]))]
+    retried = 0
+    for attempt in range(max_retries):
         missing = fields.where("status = 'not_found'").select("bid_id", "field")
-        if attempt == max_retries or not missing.limit(1).count():
+        if not missing.limit(1).count():
             break
         trace.event("validator", "retry_scheduled", attempt=attempt + 1)
-        again = extract.extract(scope).join(missing, ["bid_id", "field"], "left_semi").where("status = 'supported'")
-        if not again.limit(1).count():
+        retried += 1
+        again = materialize(extract.extract(wider[min(attempt, len(wider) - 1)]()).join(missing, ["bid_id", "field"], "left_semi").where("status = 'supported'"), "again")
+        if again.limit(1).count():
+            fields = materialize(fields.join(again.select("bid_id", "field"), ["bid_id", "field"], "left_anti").unionByName(again.select(*fields.columns)), "fields")
+        elif attempt + 1 >= len(wider):
             trace.event("validator", "retry_exhausted")
             break
-        fields = fields.join(again.select("bid_id", "field"), ["bid_id", "field"], "left_anti").unionByName(again.select(*fields.columns))
-    return {"run_id": trace.run_id, "plan": plan, "fields": fields, "changes": changes, "summary": extract.summary(fields), "validation": extract.validation_summary(fields), "trace": trace}
+    agent, diagnostics = agent_record(scope, plan, goal, provider, trace)
+    status = {r.status for r in fields.select("status").distinct().collect()} | ({"review_required"} if diagnostics else set())
+    return {
+        "fields": fields, "changes": changes, "agent": agent, "summary": extract.summary(fields), "validation": extract.validation_summary(fields), "diagnostics": diagnostics, "retries": retried,
+        "status": "review_required" if "review_required" in status else "partial" if "not_found" in status else "completed",
+    }
+
+
+def agent_record(scope: DataFrame, plan: dict, goal: str, provider: ModelProvider, trace: Trace) -> tuple[DataFrame, list[dict]]:
+    """The agent's fields by group, validated: a supported proposal of the provider before the rule's value. The
+    fields of a group that failed ask for review."""
+    spark = scope.sparkSession
+    evidence = retrieve(scope, plan["fields"]) if plan["fields"] else None
+    bids = spark.createDataFrame([(b,) for b in plan["bid_ids"]], "bid_id string")
+
+    def work(group: str, keys: list[str]) -> DataFrame:
+        ruled = extract.agent_fields(scope, keys, goal)
+        if isinstance(provider, DeterministicProvider):
+            return ruled
+        proposed = propose(provider, evidence, keys, trace)
+        return proposed.unionByName(ruled.join(proposed.select("bid_id", "field"), ["bid_id", "field"], "left_anti"))
+
+    results, errors = run_groups(plan["groups"], work)
+    values = None
+    for found in results.values():
+        values = found if values is None else values.unionByName(found)
+    names = [(k, g in errors) for g, keys in plan["groups"].items() for k in keys]
+    every = bids.crossJoin(F.broadcast(spark.createDataFrame(names, "field string, failed boolean")))  # the fields of a request
+    values = values if values is not None else spark.createDataFrame([], "bid_id string, field string, value string, record_id string")
+    rows = every.join(values.withColumn("record_id", F.col("record_id").cast(scope.schema["record_id"].dataType)), ["bid_id", "field"], "left")
+    status = F.when(F.col("failed"), "review_required").when(F.col("value").isNotNull(), "supported").otherwise("not_found")
+    checked = materialize(validate(rows.withColumn("status", status).drop("failed"), scope), "agent")
+    return checked, [{"code": "extraction_group_failed", "message": f"group {g}: {e}", "severity": "error"} for g, e in errors.items()]
+
+
+def extraction_response(state: dict) -> dict:
+    """What a caller gets of an extraction: status, fields, evaluation and diagnostics as plain values; the
+    fields are those of the bids that were asked for."""
+    out = {"run_id": state["run_id"], "status": state["status"], "diagnostics": state["diagnostics"], "plan": state.get("plan")}
+    if "fields" in state:
+        shown = state["fields"].withColumn("n_citations", F.greatest(F.coalesce(F.size("citations"), F.lit(0)), F.lit(0)))
+        out["fields"] = [r.asDict(recursive=True) for r in shown.orderBy("bid_id", "ordinal").collect()]
+        out["evaluation"] = build_evaluation(shown, state["retries"])
+    return out
+
+
+def build_evaluation(fields: DataFrame, retries: int) -> dict:
+    """Citation coverage, how many fields came to which status, and the retries of a run."""
+    given = F.coalesce(F.col("value"), F.array_join(F.transform("items", lambda x: x["value"]), ","))
+    cited = evaluation.citation_coverage(fields.select(F.lit("run").alias("bid_id"), F.nullif(given, F.lit("")).alias("value"), "n_citations")).first()
+    dispositions = {r.status: r.n for r in fields.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    return {"citation_coverage": cited.coverage if cited else 1.0, "dispositions": dispositions, "retries": retries}
+
+
+def qa_response(state: dict) -> dict:
+    out = {"run_id": state["run_id"], "status": state["status"], "diagnostics": state["diagnostics"]}
+    said = state.get("composed")
+    if said:
+        out |= {"answer": said["answer"], "found": said["found"], "disputed": said["disputed"], "citations": [c.asDict() for c in said["citations"] or []]}
+    return out
 
 
 def _by_rank():

@@ -2,15 +2,18 @@
 import hashlib
 import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dossierlake import service
+from dossierlake.config import Config
 from dossierlake.functions import dates, ids
 from dossierlake.functions import text as T
-from dossierlake.operators import answers, corpus, evaluation, extract, ingest, registry, retrieval, workflow
+from dossierlake.operators import answers, corpus, evaluation, extract, ingest, qa, registry, retrieval, workflow
 from dossierlake.sources import folders
 from dossierlake.sources.store import VersionedStore, export_json
 from dossierlake.streaming import incremental
@@ -394,7 +397,7 @@ def test_plan_filters_and_traces(spark):
         trace.tool("divide", lambda: 1 / 0, password="p", note="token=abc")
     row = trace.rows(spark).first()
     assert row.status == "failed" and "abc" not in row.details and '"password"' not in row.details
-    m = workflow.Message("r", "a", "b", "plan", {})
+    m = workflow.Message("r", "a", "b", "evidence", {"count": 1})
     assert m.check("r", "a", "b") is m
     with pytest.raises(ValueError):
         m.check("r", "a", "c")
@@ -504,3 +507,199 @@ def test_agent_rules(spark):
         ("model_number", "SI# 12-A Dell Latitude 5450 here", "", "Dell Latitude 5450"), ("solicitation_number", "RFP JA-207652 due", "", "JA-207652"), ("bid_bond", "bid bond of 5 % of total", "", "5 %"),
     ]:
         assert one(spark, extract.agent_value(key, "t", goal), t=text) == want, (key, text)
+
+
+# ---- composed answers, workflow parts, service
+
+EVID = "query_id long, query string, bid_id string, record_id string, source_file string, page_number int, doc_type string, authority_status string, rank int, text string"
+
+
+def test_composed_answers(spark):
+    ask = {1: "Which affidavit is needed?", 2: "warranty of laptops", 3: "Is a bid bond required?", 4: "What is the submission deadline?", 5: "What changed in the addendum?", 6: "Tell me a story", 7: "bid security please"}
+    rows = [
+        (1, "b1", "r1", "affidavit", None, 1, "I affirm under penalty"), (1, "b1", "r2", "rfp", None, 2, "Bidders must submit a signed affidavit with the bid."), (1, "b1", "r3", "rfp", None, 3, "Bidders must submit a signed AFFIDAVIT with the bid!"),
+        (2, "b1", "r4", "rfp", None, 1, "The warranty is three years. " + "x " * 200 + "Warranties cover parts."), (2, "b2", "r5", "rfp", None, 2, "No mention"),
+        (3, "b1", "r6", "rfp", None, 1, "A bid bond of 5% is required."), (3, "b2", "r7", "rfp", None, 2, "A bid bond is not required."), (3, "b1", "r8", "rfp", None, 3, "No bond is needed."),
+        (4, "b1", "r9", "rfp", "current", 1, "Submission deadline: June 27, 2026"), (4, "b1", "r10", "rfp", "superseded", 2, "Submission deadline: May 1, 2026"), (4, "b2", "r11", "rfp", "current", 3, "Deadline: June 1, 2026"),
+        (4, "b2", "r12", "rfp", "current", 4, "Deadline: June 2, 2026"),
+        (5, "b1", "r13", "addendum", None, 1, "The payment term is revised from Net 30 to Net 45."), (6, "b1", "r14", "rfp", None, 1, "once"), (7, "b1", "r15", "rfp", None, 1, "Bond forms are found elsewhere in the package."),
+    ]
+    evidence = spark.createDataFrame([(q, ask[q], b, r, "f.pdf", 1, d, a, n, t) for q, b, r, d, a, n, t in rows], EVID)
+    got = {r.query_id: r for r in qa.compose(spark.createDataFrame(list(ask.items()), "query_id long, query string"), evidence).collect()}
+    assert got[1].n_claims == 2 and got[1].found and "I affirm under penalty" in got[1].answer and "Bidders must submit" in got[1].answer
+    assert got[2].n_claims == 1 and got[2].answer.startswith("b1 warranty requirements: The warranty is three years.") and "cover parts" in got[2].answer and len(got[2].citations) == 1
+    assert got[3].answer == "b1: the cited source explicitly requires a bond. The stated amount is 5%. b2: the cited source explicitly states that a bond is not required."
+    assert got[4].disputed and not got[4].found and got[4].answer == "Conflicting submission deadline evidence for b2; review cited sources." and "June 27, 2026" in str(qa.claims(evidence).where("query_id = 4").collect())
+    assert "Net 30 to Net 45" in got[5].answer and not got[6].found and got[6].answer == "Not found in documents" and got[6].n_claims == 0
+    assert not got[7].found and "elsewhere" in got[7].answer
+
+
+def test_groups_wait_for_what_they_need():
+    done = []
+    groups = {"c": ["x"], "a": ["y"], "b": ["z"], "d": ["w"]}
+
+    def work(group, keys):
+        if group == "b":
+            raise ValueError("no")
+        done.append(group)
+        return keys
+
+    results, errors = workflow.run_groups(groups, work, {"c": ("a",), "d": ("b",)})
+    assert results == {"a": ["y"], "c": ["x"]} and done.index("a") < done.index("c") and set(errors) == {"b", "d"}
+    assert set(workflow.run_groups({"a": [], "b": []}, work, {"a": ("b",), "b": ("a",)})[1]) == {"a", "b"}
+
+
+def test_field_validation(spark):
+    fields = [("b", "submission_deadline", "2026-06-27", "r1", "supported"), ("b", "bid_bond", "5%", "r1", "supported"), ("b", "mandatory_requirements", "No bond required here", "r1", "supported"),
+              ("b", "warranty", None, None, "not_found"), ("b", "insurance", "two million", "r1", "supported"), ("b", "model_number", None, None, "review_required"), ("b", "solicitation_number", "soon", "r1", "supported")]
+    evidence = spark.createDataFrame([("r1", "Deadline June 27, 2026. Bid bond 5%. No bond required here. Soon.")], "record_id string, text string")
+    got = {r.field: r for r in workflow.validate(spark.createDataFrame(fields, "bid_id string, field string, value string, record_id string, status string"), evidence).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {"submission_deadline": "passed", "bid_bond": "rejected", "mandatory_requirements": "passed", "warranty": "passed", "insurance": "rejected",
+                                                      "model_number": "review_required", "solicitation_number": "passed"}
+    assert "conflicts" in got["bid_bond"].reason and got["insurance"].retry and not got["warranty"].retry
+
+
+def test_messages():
+    ok = workflow.Message("r", "a", "b", "plan", {"mode": "qa", "groups": {}, "bid_ids": []})
+    assert ok.check("r", "a", "b") is ok and ok.rejected("no").check("r", "b", "a").payload == {"reason": "no"}
+    for bad in (workflow.Message("r", "a", "b", "plan", {}), workflow.Message("r", "a", "b", "other", {"x": 1})):
+        with pytest.raises(ValueError):
+            bad.check("r", "a", "b")
+
+
+class Proposing:
+    def extract_fields(self, evidence, names):
+        if "bid_bond" in names:
+            raise RuntimeError("model down")
+        return {"submission_method": "online portal", "solicitation_number": "made up", "other": "x"}
+
+    def generate_report(self, question, claims, fallback):
+        return "worded: " + fallback
+
+
+def _scope(spark):
+    schema = "bid_id string, record_id string, source_file string, page_number int, doc_type string, content_kind string, addendum_number int, document_date string, authority_status string, status string, text string"
+    rows = [("b1", "r1", "a.html", 1, "rfp", "text", None, "", "current", "current", "Title: Desks\nSolicitation number: RFP-778\nDue date: June 27, 2024\nSubmission method: use the online portal to submit"),
+            ("b1", "r2", "b.html", 1, "rfp", "text", None, "", "current", "current", "Warranty: three years on all desks.")]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_provider_and_failures(spark):
+    records = _scope(spark)
+    out = workflow.run(records, "extraction", "all fields", ["b1"], provider=Proposing())
+    agent = {r.field: r for r in out["agent"].collect()}
+    assert agent["submission_method"].value == "online portal" and agent["solicitation_number"].value == "RFP-778" and agent["bid_bond"].verdict == "review_required"
+    assert out["status"] == "review_required" and [d["code"] for d in out["diagnostics"]] == ["extraction_group_failed"]
+    shown = workflow.extraction_response(out)
+    assert {f["field"]: f["value"] for f in shown["fields"]}["Title"] == "Desks" and shown["evaluation"]["dispositions"]["supported"] >= 3
+    said = workflow.qa_response(workflow.run(records, "qa", "What is the solicitation number?", ["b1"], provider=Proposing()))
+    assert said["found"] and said["answer"].startswith("worded: b1: solicitation number is RFP-778") and said["citations"][0]["record_id"] == "r1"
+    failed = workflow.run(records, "other", "x", ["b1"])
+    assert failed["status"] == "failed" and failed["diagnostics"][0]["code"] == "node_failed" and "planner" in failed["diagnostics"][0]["message"]
+
+
+def test_service_and_index_check(spark, tmp_path):
+    config = Config.from_env({"DOSSIERLAKE_TOP_K": "3"}, index=str(tmp_path / "i"), vectors=str(tmp_path / "v"))
+    assert config.top_k == 3
+    with pytest.raises(ValueError):
+        Config(max_retries=9)
+    site = service.Service(spark, config)
+    assert site.status() == {"ready": False, "current": True, "vectors_ready": False}
+    rows = corpus.index_records(_scope(spark).withColumnRenamed("record_id", "chunk_id").drop("status").withColumn("section_title", F.lit(None).cast("string")))
+    assert workflow.ensure_index(site.index, ["b1", "zz"], lambda missing: rows) == {"ready": ["b1"], "missing": ["zz"]}
+    assert site.status()["current"] is False
+    site.refresh()
+    request = service.Request("qa", ("b1",), "What is the solicitation number?")
+    assert site.run(request)["found"]
+    found = site.search([{"text": "warranty desks", "filters": {"bid_id": "b1"}, "top_k": None}, {"text": "portal", "top_k": 1}])
+    assert {r.query_id for r in found.collect()} == {0, 1} and retrieval.invalid_results(found).count() == 0
+    assert {r.field for r in site.views(service.Request("extraction", ("b1",))).collect()} >= {"Title", "warranty"}
+    for bad in (("other", ("b",), "x", {}), ("qa", (), "x", {}), ("qa", ("b",), " ", {}), ("qa", ("b",), "x", {"color": 1})):
+        with pytest.raises(ValueError):
+            service.Request(*bad)
+
+
+def test_observers(spark):
+    vectors = evaluation.ObservedVectors(lambda q: q.selectExpr("no_such_column"))
+    assert vectors(spark.range(1)) is None and vectors.diagnostics and evaluation.configuration_status("hybrid", vectors) == "lexical-fallback"
+    assert evaluation.configuration_status("keyword-only", vectors) == "available"
+    model = evaluation.ObservedReranker(lambda pairs: [float("nan")] * len(pairs))
+    model([("a", "b")])
+    assert model.calls == 1 and "invalid" in model.diagnostic
+    df = spark.createDataFrame([(1, 0.5), (1, None), (2, 0.1)], "query_id long, score double")
+    assert {r.query_id: r.valid for r in evaluation.valid_scores(df).collect()} == {1: False, 2: True}
+
+
+def test_result_contract(spark):
+    schema = "query_id long, record_id string, bid_id string, source_file string, page_number int, text string, rank int, score double, authority_status string, superseded_by string"
+    rows = [(1, "a", "b", "f", 1, "t", 1, 0.5, "current", None), (2, "", "b", "f", 0, " ", 0, float("nan"), "odd", None), (3, "c", "b", "f", None, "t", 2, 0.1, "superseded", None)]
+    got = {}
+    for r in retrieval.invalid_results(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r.query_id, set()).add(r.problem)
+    assert got == {2: {"no_citation", "no_text", "rank", "score", "page", "authority"}, 3: {"superseded_by"}}
+
+
+def test_unlimited_search_and_stored_postings(spark):
+    rows = [(f"r{i}", "b", "rfp", f"s{i}.html", 1, f"desk number {i} of oak {'and pine' if i % 2 else ''}") for i in range(70)]
+    df = spark.createDataFrame(rows, "record_id string, bid_id string, doc_type string, source_file string, page_number int, text string").withColumns(
+        {"addendum_number": F.lit(None).cast("int"), "document_date": F.lit(None).cast("string"), "status": F.lit("current")})
+    q = spark.createDataFrame([(1, "oak desk pine")], "query_id long, query string")
+    every = retrieval.search(df, q, top_k=None)
+    assert every.count() == 70
+    index = retrieval.Postings.of(df).stored()
+    plain = [tuple(r) for r in retrieval.search(df, q, top_k=9).select("record_id", "score", "rank").orderBy("rank").collect()]
+    assert plain == [tuple(r) for r in retrieval.search(df, q, top_k=9, index=index).select("record_id", "score", "rank").orderBy("rank").collect()]
+
+
+def test_pieces_bound_the_ratio():
+    """No pair that reaches the ratio is left out before it is compared."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(5, 150))) for _ in range(30)]
+    hits = 0
+    for a in base:
+        for _ in range(20):
+            b = list(a)
+            for _ in range(rng.randint(0, max(1, len(a) // 6))):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 1)] = rng.choice("abcxyz")
+            b = "".join(b)
+            if SequenceMatcher(None, a, b).ratio() >= 0.9:
+                hits += 1
+                assert retrieval._may_be_similar(retrieval._pieces(a), retrieval._pieces(b), len(a) + len(b), 0.9)
+    assert hits > 100
+
+
+def test_sql_functions(spark):
+    from dossierlake.functions.register import register
+
+    assert register(spark) == ["parse_html", "parse_tables", "chunk_words"]
+    rows = spark.sql("SELECT kind, text FROM parse_html('<h1>Head</h1><p>One</p><table><tr><td>x</td></tr></table>') ORDER BY ordinal").collect()
+    assert [tuple(r) for r in rows] == [("heading", "Head"), ("paragraph", "One"), ("table", "x")]
+    assert spark.sql("SELECT cells FROM parse_tables('<table><tr><td>x</td><td>y</td></tr></table>')").first().cells == [["x", "y"]]
+    assert [tuple(x) for x in spark.sql("SELECT chunk_words('a b c') AS c").first().c] == [(0, 3)]
+
+
+def brute_ranges(text, target, largest, overlap):
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    n = len(words)
+    para = [i for i in range(1, n) if "\n" in text[words[i - 1][1] : words[i][0]]]
+    sent = [i for i in range(1, n) if re.search(r"[.!?][\"')\]]*$", text[slice(*words[i - 1])])]
+    out, at = [], 0
+    while at < n:
+        end = n
+        if n - at > largest:
+            near = [max(c) for c in ([x for x in b if at + overlap < x <= at + target] for b in (para, sent)) if c]
+            later = [x for x in para + sent if at + target < x <= at + largest]
+            end = near[0] if near else min(later, default=at + largest)
+        out.append((at, end))
+        if end == n:
+            break
+        at = max(at + 1, end - overlap)
+    return out
+
+
+def test_word_ranges_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "word ", "end. ", "line\n", "so! "]) for _ in range(rng.randint(0, 120)))
+        assert ingest.word_ranges(text, 12, 16, 3) == brute_ranges(text, 12, 16, 3)
