@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import ship
-from .common import give_back, resident
+from .common import give_back, resident, table
 
 #: Distinct pieces whose ids one worker remembers; the half met longest ago is forgotten first.
 REMEMBERED = 250_000
@@ -292,4 +292,4 @@ def query(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> Da
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
+    return digests(table(spark, sf_dir, "documents", "doc_id"), path, public_tokenizers.PATTERN)

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 
 @dataclass(frozen=True)
 class Template:
@@ -123,7 +125,7 @@ PROBE = (-7, ("user", "assistant"), "</s>[INST] ok [/INST]")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations", "conv_id").select("conv_id", "turn", "role", "text")
     conv, roles, text = PROBE
     probe = spark.range(len(roles)).select(
         F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"),

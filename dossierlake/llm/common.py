@@ -1,12 +1,8 @@
-"""Helpers shared by the training-data operators: shared scratch tables and graph components."""
+"""Helpers shared by the training-data operators: tables, what a worker keeps, graph components."""
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,68 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.scratch import discard, materialize, spread
+
+__all__ = ["connected_components", "discard", "give_back", "lower_ascii", "materialize", "resident", "spread", "table"]
 
 #: What ASCII-only strippers and splitters treat as white space: space and \t \n \x0b \f \r.
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, the context's
-    checkpoint folder; a temporary one of this machine only where all runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="dossierlake-"))
-            held = sc._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return base.rstrip("/")
-
-
-#: This process's part of the shared folder, deleted when it ends.
-_OWN = uuid.uuid4().hex
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor costs only the tasks that read the table. What nobody discards goes when the driver ends."""
-    spark = df.sparkSession
-    own = f"{shared_dir(spark)}/dossierlake/{_OWN}"
-    path = f"{own}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    if own not in _to_delete:
-        _to_delete.add(own)
-        atexit.register(_delete_quietly, spark, own)
-    return out
-
-
-_to_delete: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def _delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # the session may have ended before
-        pass
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_scratch", None)
-        if path:
-            _delete(df.sparkSession, path)
+def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of a data folder, dealt out over all cores if its file has fewer splits than there are."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
 
 
 _resident: dict[Any, Any] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, give_back, materialize, resident
+from .common import discard, give_back, materialize, resident, table
 
 #: 1: the word counts, 0: it is ignored. Five words each. Any run of twelve or more words of which a
 #: fifth is substituted has a window of six with at most one substitution, which one of the first
@@ -259,4 +259,4 @@ def _leaky(shared):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(table(spark, sf_dir, "documents", "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

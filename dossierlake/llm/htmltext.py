@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import materialize, resident
+from .common import materialize, resident, table
 
 #: Words that a repeated run must have, and the distinct pages it must stand on.
 MIN_RUN, MIN_PAGES = 6, 3
@@ -320,5 +320,5 @@ def main_text(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = main_text(table(spark, sf_dir, "pages", "page_id"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

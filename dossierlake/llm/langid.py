@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import give_back, resident
+from .common import give_back, resident, table
 
 #: Components of a hypervector, and the seed of the random letter vectors.
 DIMENSION, SEED = 1024, 20240229
@@ -213,4 +213,4 @@ def known_language(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return predictions(table(spark, sf_dir, "documents", "doc_id"))

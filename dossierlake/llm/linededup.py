@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, lower_ascii, materialize
+from .common import ASCII_SPACE, lower_ascii, materialize, table
 
 #: Documents in which a key must occur before its lines go, and its least length in code points.
 MIN_DOCUMENTS, MIN_CHARS = 10, 1
@@ -110,7 +110,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(table(spark, sf_dir, "documents", "doc_id"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

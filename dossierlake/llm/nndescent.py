@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, discard, materialize, resident
+from .common import connected_components, discard, materialize, resident, table
 
 log = logging.getLogger(__name__)
 
@@ -413,4 +413,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id"))

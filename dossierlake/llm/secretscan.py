@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, table
 
 # fixed values: kind, pattern, group whose length counts, least length
 PATTERNS = (
@@ -190,7 +190,7 @@ def _listed(spans):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     out = scan(docs, train(docs))
     return out.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in PATTERNS],

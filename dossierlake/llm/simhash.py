@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import connected_components, give_back, materialize, resident
+from .common import connected_components, give_back, materialize, resident, table
 
 RADIUS = 2
 #: Four bands of 16 bits; two fingerprints at most two bits apart agree on at least two bands.
@@ -242,5 +242,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document: fingerprint as 16 hex digits and component."""
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicates(table(spark, sf_dir, "documents", "doc_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

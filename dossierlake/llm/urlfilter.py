@@ -7,7 +7,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, table
 
 #: (verdict, host, path prefix). A rule fits its host and all subdomains; the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -139,5 +139,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> DataFr
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = judge(table(spark, sf_dir, "pages", "page_id"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("page_id", "host", "path", "rule", "verdict")
