@@ -29,6 +29,8 @@ AUDITED, ENOUGH, RECALL, DOUBLINGS = 2048, 200, 0.97, 2
 #: Where a group is compared whole: bytes of the vectors on one side of a block at most, the least vectors of a
 #: side, and the sides that a group is cut into if that leaves them so large.
 BLOCK_BYTES, LEAST_BLOCK, SIDES = 16 << 20, 64, 16
+#: Parts that a group's rows are dealt into where they are joined with its size.
+SALTS = 32
 #: Tiles of a block that are multiplied at a time.
 TILE = 1024, 4096
 
@@ -229,8 +231,11 @@ def _in_blocks(held: DataFrame, groups: DataFrame, threshold: float) -> DataFram
     widest = held.agg(F.max(F.octet_length("e"))).first()[0] or 8
     largest = max(LEAST_BLOCK, BLOCK_BYTES // widest)
     side = F.least(F.greatest(F.ceil(F.count("*") / SIDES), F.lit(LEAST_BLOCK)), F.lit(largest))
-    sizes = materialize(groups.groupBy("component").agg(F.ceil(F.count("*") / side).cast("int").alias("chunks")), "sizes")
-    rows = groups.join(sizes, "component").join(held.select("pid", "kind", "n", "e"), "pid")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / side).cast("int").alias("chunks"))
+    # salted, so that the rows of one large group do not meet in one task to learn its size
+    sizes = materialize(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "sizes")
+    salted = groups.withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(sizes, ["component", "salt"]).join(held.select("pid", "kind", "n", "e"), "pid")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("pid"), "chunks").cast("int")).select(
         "component", "pid", "n", "e", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     )
