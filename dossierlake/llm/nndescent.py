@@ -214,6 +214,11 @@ def verified(held: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("c", cosine("ea", "eb")).where(F.col("c") >= threshold).select("a", "b")
 
 
+def _salt(pid):
+    """The part of its group that a vector's row is dealt into, so that a large group does not meet in one task."""
+    return F.pmod(F.xxhash64(pid), F.lit(SALTS)).cast("int")
+
+
 def complete_groups(held: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(u, links): for each vector of ``groups(pid, component)`` the rows of other vectors of its group
     within the threshold. A list that is full of links is enlarged to its whole group."""
@@ -234,7 +239,7 @@ def _in_blocks(held: DataFrame, groups: DataFrame, threshold: float) -> DataFram
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / side).cast("int").alias("chunks"))
     # salted, so that the rows of one large group do not meet in one task to learn its size
     sizes = materialize(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "sizes")
-    salted = groups.withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int"))
+    salted = groups.withColumn("salt", _salt(F.col("pid")))
     rows = salted.join(sizes, ["component", "salt"]).join(held.select("pid", "kind", "n", "e"), "pid")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("pid"), "chunks").cast("int")).select(
         "component", "pid", "n", "e", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
@@ -381,8 +386,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         components = materialize(connected_components(links), "components")
         full = lists.groupBy("u").agg(F.count_if(F.col("s") >= threshold - SLACK).alias("f")).where(F.col("f") >= k).select("u")
         dense = full.join(components, full.u == components.id).select("component").distinct()
+        dense = dense.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         # a table of its own, whose rows are counted before they are dealt out by group
-        groups = materialize(components.join(dense, "component", "left_semi").select(F.col("id").alias("pid"), "component"), "groups")
+        members_of = components.withColumn("salt", _salt(F.col("id")))
+        groups = materialize(members_of.join(dense, ["component", "salt"], "left_semi").select(F.col("id").alias("pid"), "component"), "groups")
         completed = materialize(complete_groups(held, groups, threshold), "dense")
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         listed = both.join(held.select(F.col("pid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("m"))
