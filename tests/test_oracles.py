@@ -20,4 +20,6 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    rows = df.count()
+    assert rows > 0 and len(set(df.columns)) == len(df.columns)
+    assert registry.QUERIES[name](spark, SF).schema == df.schema
