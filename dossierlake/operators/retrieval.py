@@ -465,6 +465,7 @@ def search(
     if configuration not in ("keyword-only", "semantic-only", "hybrid"):
         raise ValueError(configuration)
     n_records = records.count()
+    index = index or Postings.of(records).stored()  # read for each method and each widening
     if top_k is None:
         top_k = candidate_limit = max(1, n_records)
     found, limit, open_, before = None, candidate_limit, queries, {}
