@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from . import extract_queries, ingest_queries, retrieval_queries, view_queries  # noqa: E402, F401  they fill the registry
+from . import extract_queries, ingest_queries, retrieval_queries, scale_queries, view_queries  # noqa: E402, F401  they fill the registry
