@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import bound, col
 
 # fixed values: month names and the source kinds that never date a document
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -23,23 +23,30 @@ def _built(year, month, day) -> Column:
 
 def parse(raw) -> Column:
     """A struct (iso, status) of a date's spelling: candidate, ambiguous (day and month could be swapped) or invalid."""
-    value = F.trim(col(raw))
-    value = F.when(value.rlike(r"^D:20[0-9]{6}"), F.regexp_replace(value, r"^D:(20[0-9]{2})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3")).otherwise(value)
-    part = lambda pattern, g: F.regexp_extract(value, pattern, g)
     iso, first_year, slashed = r"^(20[0-9]{2})-([0-9]{2})-([0-9]{2})", r"^(20[0-9]{2})/([0-9]{1,2})/([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})/(20[0-9]{2})$"
-    a, b = part(slashed, 1).cast("int"), part(slashed, 2).cast("int")
-    swapped = F.when(a <= 12, _built(part(slashed, 3), part(slashed, 1), part(slashed, 2))).otherwise(_built(part(slashed, 3), part(slashed, 2), part(slashed, 1)))
-    capital = F.regexp_replace(F.initcap(value), r"\s+", " ")
-    worded = F.coalesce(*[F.date_format(F.try_to_date(capital, f), "yyyy-MM-dd") for f in _WORDED])
-    both = value.rlike(slashed) & (a <= 12) & (b <= 12)
-    date = (
-        F.when(value.rlike(iso), _built(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(value.rlike(first_year), _built(part(first_year, 1), part(first_year, 2), part(first_year, 3)))
-        .when(both, F.lit(None).cast("string"))
-        .when(value.rlike(slashed), swapped)
-        .otherwise(worded)
-    )
-    return F.struct(date.alias("iso"), F.when(both, "ambiguous").when(date.isNull(), "invalid").otherwise("candidate").alias("status"))
+
+    def date(value, both):
+        part = lambda pattern, g: F.regexp_extract(value, pattern, g)
+        swapped = F.when(part(slashed, 1).cast("int") <= 12, _built(part(slashed, 3), part(slashed, 1), part(slashed, 2))).otherwise(_built(part(slashed, 3), part(slashed, 2), part(slashed, 1)))
+        worded = lambda capital: F.coalesce(*[F.date_format(F.try_to_date(capital, f), "yyyy-MM-dd") for f in _WORDED])
+        return (
+            F.when(value.rlike(iso), _built(part(iso, 1), part(iso, 2), part(iso, 3)))
+            .when(value.rlike(first_year), _built(part(first_year, 1), part(first_year, 2), part(first_year, 3)))
+            .when(both, F.lit(None).cast("string"))
+            .when(value.rlike(slashed), swapped)
+            .otherwise(bound(F.regexp_replace(F.initcap(value), r"\s+", " "), worded))
+        )
+
+    def result(both, date):
+        return F.struct(date.alias("iso"), F.when(both, "ambiguous").when(date.isNull(), "invalid").otherwise("candidate").alias("status"))
+
+    def status(value):
+        small = lambda g: F.regexp_extract(value, slashed, g).cast("int") <= 12
+        return bound(value.rlike(slashed) & small(1) & small(2), lambda both: bound(date(value, both), lambda found: result(both, found)))
+
+    value = F.trim(col(raw))
+    packed = F.regexp_replace(value, r"^D:(20[0-9]{2})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3")
+    return bound(F.when(value.rlike(r"^D:20[0-9]{6}"), packed).otherwise(value), status)
 
 
 def candidates(text) -> Column:

@@ -1,6 +1,8 @@
 """Column functions on text: tokens, normalization, redaction, windows around matches."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: without it each use repeats the whole
+    expression, and long chains of them no longer compile."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text) -> Column:
     """Lower-cased runs of ASCII letters and digits, joined over single - or _; order and repeats stay."""
     return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(0))
@@ -108,16 +116,5 @@ def redact(text, limit: int = 500) -> Column:
     return F.substring(masked, 1, limit)
 
 
-def match_spans(text, phrase: str) -> Column:
-    """(start, end) of every place of a literal phrase in the lower-cased text, from 0, end exclusive."""
-    gaps = F.split(F.lower(col(text)), F.lit("\\Q" + phrase + "\\E"), -1)
-    n = len(phrase)
-    sizes = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + n)
-    ends = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return F.when(F.size(sizes) > 0, F.transform(ends, lambda e: F.struct((e - n).alias("start"), e.alias("end")))).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    )
-
-
 def excerpt(text, limit: int = 5000) -> Column:
     return F.substring(col(text), 1, limit)

@@ -12,7 +12,7 @@ from ..functions import dates
 from ..functions import text as T
 from ..operators import answers, corpus, evaluation, extract, ingest, views
 from ..sources.folders import detected_format
-from ..sources.scratch import own_dir
+from ..sources.scratch import own_dir, spread
 from ..streaming.incremental import windowed_counts
 from .extract_queries import LINE
 from .ingest_queries import LINES, _lines
@@ -31,7 +31,7 @@ def _when(key: Column, *cases: Column) -> Column:
 def _dated(spark, sf):
     """Orders with their date as text, twenty years later."""
     d = F.add_months(F.to_date("o_orderdate"), 240)
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("k"), F.date_format(d, "yyyy-MM-dd").alias("iso"), F.date_format(d, "MMMM d, yyyy").alias("long"),
         F.date_format(F.date_add(d, 30), "yyyy-MM-dd").alias("iso30"), F.date_format(F.date_add(d, 30), "MMMM d, yyyy").alias("long30"))
 
