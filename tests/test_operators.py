@@ -703,3 +703,25 @@ def test_word_ranges_equal_brute_force():
     for _ in range(200):
         text = "".join(rng.choice(["word ", "word ", "end. ", "line\n", "so! "]) for _ in range(rng.randint(0, 120)))
         assert ingest.word_ranges(text, 12, 16, 3) == brute_ranges(text, 12, 16, 3)
+
+
+def test_readers_of_json_files(spark, tmp_path):
+    import json
+
+    report = {"chunks": [{"chunk_id": "c1", "bid_id": "b1", "text": "one", "page_number": 2, "diagnostic_ids": ["d"]}, {"chunk_id": "c2", "text": None}], "other": 1}
+    (tmp_path / "report.json").write_text(json.dumps(report, indent=2))
+    rows = {r.chunk_id: r for r in folders.read_report_chunks(spark, str(tmp_path / "report.json")).collect()}
+    assert rows["c1"].text == "one" and rows["c1"].page_number == 2 and rows["c1"].diagnostic_ids == ["d"] and rows["c2"].text is None
+    (tmp_path / "cases.json").write_text(json.dumps([{"case_id": "1", "query": "q", "expected_passages": [{"record_id": "r", "excerpt": "x"}]}]))
+    case = folders.read_cases(spark, str(tmp_path / "cases.json")).first()
+    assert case.case_id == "1" and case.expected_passages[0].excerpt == "x" and case.category is None
+    (tmp_path / "bad.json").write_text(json.dumps([{"bid_id": "b", "n": "many"}]))
+    with pytest.raises(Exception):
+        folders.read_records(spark, str(tmp_path / "bad.json"), "bid_id string, n int").collect()
+
+
+def test_folders_that_a_request_may_name():
+    assert workflow.authorize_folders(["b1"], ["/bids/b1/"], "/bids/") == ["/bids/b1/"]
+    for bad in ("/bids/b2", "/bids/x/b1", "/other/b1", "/bids/..", "/bids"):
+        with pytest.raises(ValueError):
+            workflow.authorize_folders(["b1"], [bad], "/bids")
