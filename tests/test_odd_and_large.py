@@ -2,6 +2,7 @@
 import pytest
 from oracle import compare, connect
 
+from dossierlake.operators import retrieval
 from dossierlake.plans import registry
 
 TEXTS = [None, "", " ", "  two blanks before", "one", "one two three", "the the the the", "the " * 300, "emoji 🦆 the 🦆 the end", "\tthe tab\nand the line "]
@@ -21,3 +22,46 @@ def odd(spark, tmp_path):
 def test_odd_texts_equal_sql(spark, odd, name):
     problem = compare(spark, connect(odd), name, registry.QUERIES[name], registry.ORACLES[name], odd)
     assert problem is None, problem
+
+
+def _words(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join(rng.choice("the oak desk of pine zx-21 zx-210 lamp 4gb and chair".split()) for _ in range(n))
+
+
+def test_records_are_read_not_shuffled(spark):
+    """Ranking moves what a task found best, not the words of the records, and gives what stored postings give."""
+    rows = [(f"r{i:03}", f"b{i % 3}", None if i % 41 == 40 else _words(i % 60, i % 17)) for i in range(150)]
+    r = spark.createDataFrame(rows, "record_id string, bid_id string, text string").repartition(5)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["the oak desk", "oak desk", "zx-21 lamp", "zx-210", "of pine of", "b1", "the oak desk", "none", " ", "Lamp 4gb and"])], "query_id long, query string")
+    index = retrieval.Postings.of(r).stored()
+    for ranked in (retrieval.keyword_candidates, retrieval.semantic_candidates):
+        for limit in (3, 50, None):
+            own = ranked(r, q, limit)
+            assert "Generate" not in own._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, own.collect())) == sorted(map(tuple, ranked(r.where("text is not null"), q, limit, index).collect()))
+
+
+def test_vectors_are_multiplied_in_blocks(spark):
+    """Undefined cosines come last, ties go by id, and a task passes on only its best."""
+    v = [(i, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None), (62, [1.0]), (63, [None, 1.0, 1.0])]
+    vectors = spark.createDataFrame(v, "record_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x) for i, x in v if i % 9 == 0], "query_id long, qvector array<double>")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 6)
+
+    want = {}
+    for qid, x in v:
+        if qid % 9 == 0:
+            scored = sorted(((cosine(y, x), i) for i, y in v), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
+            want[qid] = [(i, s) for s, i in scored]
+    for limit in (4, 62, None):
+        got = {}
+        for r in retrieval.vector_candidates(vectors, asked, limit).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.record_id, r.score))
+        assert got == {k: rows[:limit] for k, rows in want.items()}
