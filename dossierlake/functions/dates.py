@@ -1,7 +1,7 @@
 """Dates in text: candidate spellings, parsing with a status, and the best supported date of a document."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bound, col
@@ -81,17 +81,17 @@ def select_document_date(dates: DataFrame, key: str = "document_id") -> DataFram
     """
     ok = ~F.col("kind").isin(*TECHNICAL)
     valid = ok & F.col("iso").isNotNull()
-    best = F.min(F.when(valid, F.col("precedence"))).over(Window.partitionBy(key))
-    ranked = dates.withColumn("best", best)
-    at_best = valid & (F.col("precedence") == F.col("best"))
-    out = ranked.groupBy(key).agg(
-        F.min(F.when(ok & (F.col("status") == "ambiguous"), F.col("precedence"))).alias("unsure"), F.max("best").alias("best"),
-        F.count_distinct(F.when(at_best, F.col("iso"))).alias("n_best"), F.count_distinct(F.when(valid, F.col("iso"))).alias("n_all"),
-        F.min_by(F.col("iso"), F.when(at_best, F.struct("precedence", "ord"))).alias("first"), F.count_if(ok & (F.col("status") == "invalid")).alias("bad"),
+    ranked = valid & F.col("precedence").isNotNull()
+    # more than one date is a least that is not the greatest: one aggregation, without sets and without a window
+    out = dates.groupBy(key).agg(
+        F.min(F.when(ok & (F.col("status") == "ambiguous"), F.col("precedence"))).alias("unsure"), F.min(F.when(ranked, F.struct("precedence", "iso"))).alias("low"),
+        F.max(F.when(ranked, F.struct((-F.col("precedence")).alias("precedence"), "iso"))).alias("high"), F.min(F.when(valid, F.col("iso"))).alias("first"),
+        F.max(F.when(valid, F.col("iso"))).alias("last"), F.count_if(ok & (F.col("status") == "invalid")).alias("bad"),
     )
-    unsure = F.col("unsure").isNotNull() & (F.col("best").isNull() | (F.col("unsure") <= F.col("best")))
+    best = F.col("low.precedence")
+    unsure = F.col("unsure").isNotNull() & (best.isNull() | (F.col("unsure") <= best))
     status = (
-        F.when(unsure, "ambiguous").when(F.col("best").isNull() & (F.col("bad") > 0), "invalid").when(F.col("best").isNull(), "unavailable")
-        .when(F.col("n_best") > 1, "conflict").when(F.col("n_all") > 1, "selected_with_conflict").otherwise("selected")
+        F.when(unsure, "ambiguous").when(best.isNull() & (F.col("bad") > 0), "invalid").when(best.isNull(), "unavailable")
+        .when(F.col("low.iso") != F.col("high.iso"), "conflict").when(F.col("first") != F.col("last"), "selected_with_conflict").otherwise("selected")
     )
-    return out.select(key, status.alias("date_status"), F.when(status.startswith("selected"), F.col("first")).alias("document_date"))
+    return out.select(key, status.alias("date_status"), F.when(status.startswith("selected"), F.col("low.iso")).alias("document_date"))

@@ -2,6 +2,7 @@
 import pytest
 from oracle import compare, connect
 
+from dossierlake.functions import dates
 from dossierlake.operators import retrieval
 from dossierlake.plans import registry
 
@@ -65,3 +66,15 @@ def test_vectors_are_multiplied_in_blocks(spark):
         for r in retrieval.vector_candidates(vectors, asked, limit).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.record_id, r.score))
         assert got == {k: rows[:limit] for k, rows in want.items()}
+
+
+def test_date_selection_is_one_aggregation(spark):
+    """Neither windows nor sets of dates; ties, nulls and technical dates as before."""
+    rows = [(1, 1, "2024-01-02", "candidate", "visible_text", 3), (1, 2, "2024-01-03", "candidate", "visible_text", 2), (2, 1, "2024-01-02", "candidate", "visible_text", 2),
+            (2, 1, "2024-01-05", "candidate", "visible_text", 2), (3, 1, None, "invalid", "visible_text", 3), (4, 1, None, "ambiguous", "visible_text", 2), (4, 2, "2024-01-02", "candidate", "visible_text", 3),
+            (5, 1, "2024-01-02", "candidate", "modified_metadata", 0), (6, 1, "2024-01-02", "candidate", "visible_text", 3), (6, 2, "2024-01-02", "candidate", "visible_text", 3)]
+    out = dates.select_document_date(spark.createDataFrame(rows, "document_id long, ord int, iso string, status string, kind string, precedence int"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Expand" not in plan
+    assert {r.document_id: (r.date_status, r.document_date) for r in out.collect()} == {
+        1: ("selected_with_conflict", "2024-01-03"), 2: ("conflict", None), 3: ("invalid", None), 4: ("ambiguous", None), 5: ("unavailable", None), 6: ("selected", "2024-01-02")}
