@@ -7,12 +7,16 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.ids import stable_id
 from ..functions.text import col, edge_line_key
 from ..session import ship
+from ..sources.scratch import materialize
 
 # fixed values: chunk sizes in words, furniture limits, elements without text, blocks
 TARGET, LARGEST, OVERLAP = 120, 150, 20
@@ -32,6 +36,9 @@ class _Node:
         self.tag, self.attrs, self.items, self.line = tag, attrs, [], line
 
     def text(self) -> str:
+        items = self.items
+        if len(items) == 1 and isinstance(items[0], str):
+            return " ".join(items[0].split())
         return " ".join("".join(self._strings()).split())
 
     def _strings(self) -> Iterator[str]:
@@ -43,11 +50,13 @@ class _Node:
                 yield from x._strings()
 
     def below(self, *tags: str) -> Iterator[_Node]:
-        for x in self.items:
+        left = self.items[::-1]
+        while left:
+            x = left.pop()
             if not isinstance(x, str):
                 if x.tag in tags:
                     yield x
-                yield from x.below(*tags)
+                left += x.items[::-1]
 
 
 class _Tree(HTMLParser):
@@ -77,7 +86,36 @@ class _Tree(HTMLParser):
         self.open[-1].items.append(data)
 
 
+# fixed values: elements whose text the parser reads as any other, and what a page may consist of to be read by tokens
+_SIMPLE = "p|h[1-6]|div|span|table|thead|tbody|tr|td|th|ul|ol|li|b|i|em|strong|a|br|hr|header|footer|section|article|main|aside|nav|body"
+_SIMPLE_PAGE = re.compile(rf"""(?:[^<&]++|<(?:{_SIMPLE})(?:[ ][a-z][a-z-]*=(?:'[^'<>&]*'|"[^"<>&]*"))*+>|</(?:{_SIMPLE})>)*+""")
+_PIECE = re.compile(r"<(/?)([a-z0-9]+)([^>]*)>|([^<]+)")
+_ATTRIBUTE = re.compile(r"""([a-z-]+)=(?:'([^']*)'|"([^"]*)")""")
+
+
+def _simple_tree(html: str) -> _Node:
+    """The tree of a page of plain tags without references, comments and the like: what the parser makes of it."""
+    root = _Node("", {}, 0)
+    stack = [root]
+    for end, tag, attrs, data in _PIECE.findall(html):
+        if data:
+            stack[-1].items.append(data)
+        elif end:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    del stack[i:]
+                    break
+        else:
+            node = _Node(tag, {k: a or b for k, a, b in _ATTRIBUTE.findall(attrs)} if attrs else {}, 1)
+            stack[-1].items.append(node)
+            if tag not in _VOID:
+                stack.append(node)
+    return root
+
+
 def parse_tree(html: str) -> _Node:
+    if _SIMPLE_PAGE.fullmatch(html):
+        return _simple_tree(html)  # lines of elements are not counted: none of these is asked for its line
     tree = _Tree()
     tree.feed(html)
     tree.close()
@@ -154,28 +192,30 @@ def metadata(html: str) -> list[tuple]:
     return out
 
 
-def _parsed(pages: DataFrame, parse: Callable[[str], list[tuple]], names: list[str], schema: str) -> DataFrame:
+def _parsed(pages: DataFrame, parse: Callable[[str], list[tuple]], schema: str) -> DataFrame:
     ship(pages.sparkSession)
+    schema = f"page_id long, ordinal int, {schema}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, i, *r) for p, h in zip(f["page_id"], f["html"]) if isinstance(h, str) for i, r in enumerate(parse(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, i, *r) for p, h in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist()) if h is not None for i, r in enumerate(parse(h))]
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], names=kinds.names)
 
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, ordinal int, {schema}")
+    return pages.select("page_id", "html").mapInArrow(run, schema)
 
 
 def html_sections(pages: DataFrame) -> DataFrame:
-    return _parsed(pages, sections, ["kind", "text", "heading_level", "heading_path", "table_no"],
-                   "kind string, text string, heading_level int, heading_path array<string>, table_no int")
+    return _parsed(pages, sections, "kind string, text string, heading_level int, heading_path array<string>, table_no int")
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
-    return _parsed(pages, tables, ["table_no", "has_header", "rows"], "table_no int, has_header boolean, rows array<array<string>>")
+    return _parsed(pages, tables, "table_no int, has_header boolean, rows array<array<string>>")
 
 
 def html_metadata(pages: DataFrame) -> DataFrame:
-    return _parsed(pages, metadata, ["key", "value", "line"], "key string, value string, line int")
+    return _parsed(pages, metadata, "key string, value string, line int")
 
 
 def pdf_unavailable(documents: DataFrame) -> DataFrame:
@@ -300,11 +340,12 @@ def page_furniture(lines: DataFrame) -> DataFrame:
     """Adds ``furniture`` to rows (document_id, page_id, line_no, n_lines, line): removed for a short edge line
     whose key stands on three fifths of the document's pages and at least two, uncertain for one on two or more."""
     edge = (F.col("line_no") < EDGE_LINES) | (F.col("line_no") >= F.col("n_lines") - 1)
-    # inner lines have no key and stay as they are, so they take part in no join
-    keyed = lines.where(edge).withColumn("key", edge_line_key("line"))
-    inner = lines.where(~edge).withColumns({"key": F.lit(None).cast("string"), "furniture": F.lit("kept")})
+    # inner lines have no key and stay as they are, so they take part in no join; what follows reads all lines four
+    # times, so they are made and their keys computed once
+    marked = materialize(lines.withColumn("key", F.when(edge, edge_line_key("line"))), "page-lines")
+    keyed, inner = marked.where(edge), marked.where(~edge).withColumn("furniture", F.lit("kept"))
     counts = keyed.where((F.col("key") != "") & (F.trim("line") != "") & (F.length("line") <= EDGE_CHARS)).groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("on_pages"))
-    pages = lines.groupBy("document_id").agg(F.count_distinct("page_id").alias("pages"))
+    pages = marked.groupBy("document_id").agg(F.count_distinct("page_id").alias("pages"))
     on = counts.where("on_pages >= 2").join(pages, "document_id")
     needed = F.greatest(F.lit(2), F.ceil(F.col("pages") * 3 / 5))
     state = on.select("document_id", "key", F.when(F.col("on_pages") >= needed, "removed").otherwise("uncertain").alias("furniture"))
@@ -468,7 +509,7 @@ def page_lines(html: str) -> list[tuple]:
 
 def html_page_lines(pages: DataFrame) -> DataFrame:
     """Lines of explicit pages within HTML files, ready for ``page_furniture`` with the file as document."""
-    rows = _parsed(pages, page_lines, ["page_block", "line_no", "n_lines", "line"], "page_block int, line_no int, n_lines int, line string")
+    rows = _parsed(pages, page_lines, "page_block int, line_no int, n_lines int, line string")
     return rows.select(F.col("page_id").alias("document_id"), F.concat_ws("-", "page_id", "page_block").alias("page_id"), "line_no", "n_lines", "line")
 
 

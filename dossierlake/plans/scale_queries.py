@@ -87,7 +87,7 @@ def order_page_furniture(spark, sf):
     """Each order as a file of three pages with a header and a page number."""
     k = F.col("o_orderkey").cast("string")
     page = lambda i: F.concat(F.lit("<div class='page'><p>Order "), k, F.lit(f"</p><p>body {'abc'[i]} text</p><p>Page {i + 1} of 3</p></div>"))
-    html = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("<body>"), *[page(i) for i in range(3)], F.lit("</body>")).alias("html"))
+    html = spread(table(spark, sf, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("<body>"), *[page(i) for i in range(3)], F.lit("</body>")).alias("html"))
     return ingest.page_furniture(ingest.html_page_lines(html)).select("page_id", F.col("line_no").cast("long").alias("line_no"), "furniture")
 
 

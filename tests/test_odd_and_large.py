@@ -1,9 +1,11 @@
 """Odd rows, and plans that must not move what they need not."""
+import random
+
 import pytest
 from oracle import compare, connect
 
 from dossierlake.functions import dates
-from dossierlake.operators import retrieval
+from dossierlake.operators import ingest, retrieval
 from dossierlake.plans import registry
 
 TEXTS = [None, "", " ", "  two blanks before", "one", "one two three", "the the the the", "the " * 300, "emoji 🦆 the 🦆 the end", "\tthe tab\nand the line "]
@@ -78,3 +80,35 @@ def test_date_selection_is_one_aggregation(spark):
     assert "Window" not in plan and "Expand" not in plan
     assert {r.document_id: (r.date_status, r.document_date) for r in out.collect()} == {
         1: ("selected_with_conflict", "2024-01-03"), 2: ("conflict", None), 3: ("invalid", None), 4: ("ambiguous", None), 5: ("unavailable", None), 6: ("selected", "2024-01-02")}
+
+
+def _flat(node):
+    out = []
+    for x in node.items:
+        if not isinstance(x, str):
+            out.append((x.tag, x.attrs, _flat(x)))
+        elif out and isinstance(out[-1], str):
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
+
+
+def test_simple_pages_make_the_same_tree():
+    rng = random.Random(1)
+    bits = ["<p>", "</p>", "<div class='page x'>", "</div>", "<br>", "</br>", "<hr>", "a > b", " \n", "x", "<td>", "</td>", "<tr>", "<table>", "</table>", "<li>", "<a href=\"u?x=1\" id='2'>", "</a>", "é ", "</ul>", "]]>", "--> ", "\r\n", "<a href=''>"]
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert ingest._SIMPLE_PAGE.fullmatch(html)
+        tree = ingest._Tree()
+        tree.feed(html)
+        tree.close()
+        assert _flat(ingest.parse_tree(html)) == _flat(tree.root), html
+    for html in ("a &amp; b", "<!-- x --><p>", "<script>1</script>", "<P>", "<p", "<title>x</title>", "<p a=b>", "<p/>", "< p>"):
+        assert not ingest._SIMPLE_PAGE.fullmatch(html)
+
+
+def test_furniture_parses_pages_once(spark):
+    html = "<body>" + "".join(f"<div class='page'><p>Head 7</p><p>body {c}</p><p>Page {c} of 3</p></div>" for c in "123") + "</body>"
+    out = ingest.page_furniture(ingest.html_page_lines(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString() and out.where("furniture = 'removed'").count() == 9
