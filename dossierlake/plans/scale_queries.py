@@ -125,7 +125,7 @@ def _order_evidence(spark, sf):
  unnest(['RFP-' || k, 'School order', CASE WHEN k % 2 = 0 THEN iso30 ELSE iso END || ' 14:00 CST', CASE WHEN k % 2 = 0 THEN 'Net 45' ELSE 'Net 30' END]) AS value FROM dated""")
 def order_fields(spark, sf):
     """Fields of the solicitations of all orders."""
-    f = extract.extract(_order_evidence(spark, sf)).where("status = 'supported'")
+    f = extract.extract(_order_evidence(spark, sf), found_only=True)
     return f.select("bid_id", "field", F.coalesce("value", F.array_join(F.transform("items", lambda x: x["value"]), "|")).alias("value"))
 
 
