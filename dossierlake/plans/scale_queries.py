@@ -31,7 +31,7 @@ def _when(key: Column, *cases: Column) -> Column:
 def _dated(spark, sf):
     """Orders with their date as text, twenty years later."""
     d = F.add_months(F.to_date("o_orderdate"), 240)
-    return spread(table(spark, sf, "orders"), "o_orderkey").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey", each=16).select(
         F.col("o_orderkey").alias("k"), F.date_format(d, "yyyy-MM-dd").alias("iso"), F.date_format(d, "MMMM d, yyyy").alias("long"),
         F.date_format(F.date_add(d, 30), "yyyy-MM-dd").alias("iso30"), F.date_format(F.date_add(d, 30), "MMMM d, yyyy").alias("long30"))
 
@@ -134,7 +134,8 @@ def order_fields(spark, sf):
 def order_amended_fields(spark, sf):
     """What the addenda of the orders make of their fields."""
     e = _order_evidence(spark, sf)
-    return extract.reconcile_scalars(extract.extract(e.where(~extract.is_addendum_evidence())), extract.update_candidates(e))
+    base = e.where(~extract.is_addendum_evidence())
+    return extract.reconcile_scalars(extract.extract(base, found_only=True), extract.update_candidates(e), base)
 
 
 @query("order_field_support", """SELECT 'b' || o_orderkey AS bid_id, o_orderkey % 3 = 0 AS supported, true AS labelled FROM orders""")

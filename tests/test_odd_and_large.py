@@ -5,8 +5,9 @@ import pytest
 from oracle import compare, connect
 
 from dossierlake.functions import dates
-from dossierlake.operators import ingest, retrieval
+from dossierlake.operators import extract, ingest, retrieval
 from dossierlake.plans import registry
+from dossierlake.sources.scratch import spread
 
 TEXTS = [None, "", " ", "  two blanks before", "one", "one two three", "the the the the", "the " * 300, "emoji 🦆 the 🦆 the end", "\tthe tab\nand the line "]
 
@@ -112,3 +113,29 @@ def test_furniture_parses_pages_once(spark):
     html = "<body>" + "".join(f"<div class='page'><p>Head 7</p><p>body {c}</p><p>Page {c} of 3</p></div>" for c in "123") + "</body>"
     out = ingest.page_furniture(ingest.html_page_lines(spark.createDataFrame([(1, html)], "page_id long, html string")))
     assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString() and out.where("furniture = 'removed'").count() == 9
+
+
+EVIDENCE = [
+    ("b1", "r1", "a.html", 1, "rfp", None, "Solicitation Number: RFP-7\nPayment terms: Net 30"), ("b1", "r2", "b.html", 1, "addendum", 1, "Payment terms: Net 45. The new due date: May 4, 2026"),
+    ("b2", "r3", "a.html", 1, "rfp", None, "Nothing of note."), ("b2", "r4", "b.html", 1, "addendum", 2, "Payment terms: Net 60"), ("b3", "r5", "b.html", 1, "addendum", 1, "Payment terms: Net 10"),
+]
+
+
+def test_found_only_and_reconciled_without_absent_fields(spark):
+    """Rows of absent fields need not be made; updates of them count as before, those of unknown bids do not."""
+    e = spark.createDataFrame([(*r[:4], None, r[4], "text", r[5], "2026-01-01", "current", r[6]) for r in EVIDENCE],
+                              "bid_id string, record_id string, source_file string, page_number int, section_title string, doc_type string, content_kind string, addendum_number int, document_date string, authority_status string, text string")
+    base = e.where(~extract.is_addendum_evidence())
+    every, found = extract.extract(base), extract.extract(base, found_only=True)
+    columns = ["bid_id", "field", "value"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, every.where("status = 'supported'").select(columns).collect()))
+    updates = extract.update_candidates(e)
+    got = sorted(map(tuple, extract.reconcile_scalars(found, updates, base).collect()))
+    assert got == sorted(map(tuple, extract.reconcile_scalars(every, updates).collect())) and len(got) == 3
+
+
+def test_parts_grow_with_splits(spark):
+    """Rows that become texts are dealt into more parts where there are more splits."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(100).repartition(cores)
+    assert spread(rows, "id").rdd.getNumPartitions() == cores and spread(rows, "id", each=16).rdd.getNumPartitions() == 16 * cores
