@@ -139,3 +139,36 @@ def test_parts_grow_with_splits(spark):
     cores = spark.sparkContext.defaultParallelism
     rows = spark.range(100).repartition(cores)
     assert spread(rows, "id").rdd.getNumPartitions() == cores and spread(rows, "id", each=16).rdd.getNumPartitions() == 16 * cores
+
+
+def _moved(spark, query, folder):
+    """Bytes that the stages of a query shuffle, spill and write."""
+    sc, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.memoryBytesSpilled() + s.diskBytesSpilled() + s.outputBytes() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    query(spark, folder).collect()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.fixture(scope="module")
+def growing(spark, tmp_path_factory):
+    """Folders of the documents once and four times, in as many splits as there are cores."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out, n = [], d.agg({"doc_id": "max"}).first()[0] + 1
+    for times in (1, 4):
+        rows = d.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).selectExpr(f"doc_id + copy * {n} as doc_id", "text", "lang", "source", "n_chars")
+        out.append(str(tmp_path_factory.mktemp(f"x{times}")))
+        rows.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(f"{out[-1]}/documents.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["token_cosine_topk"])
+def test_what_is_moved_does_not_grow(spark, growing, name):
+    """What a ranking shuffles, spills and writes follows questions and limit, not the documents."""
+    once, four = (_moved(spark, registry.QUERIES[name], folder) for folder in growing)
+    assert four < 2 * once, (once, four)
