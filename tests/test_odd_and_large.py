@@ -167,7 +167,7 @@ def growing(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["token_cosine_topk", "semantic_only_search", "bm25_topk", "invalid_results", "citation_rows", "model_rerank"])
+@pytest.mark.parametrize("name", ["token_cosine_topk", "semantic_only_search", "bm25_topk", "invalid_results", "citation_rows", "model_rerank", "evidence_by_bid"])
 def test_what_is_moved_does_not_grow(spark, growing, name):
     """What a ranking shuffles, spills and writes follows questions and limit, not the documents."""
     once, four = (_moved(spark, registry.QUERIES[name], folder) for folder in growing)
